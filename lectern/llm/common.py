@@ -53,7 +53,7 @@ def purge(spark: SparkSession) -> None:
 
 def plan_bytes(df: DataFrame) -> int:
     """The planner's estimate of the size of ``df``; for files, their size. Reads nothing."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def parts(df: DataFrame, bytes_each: int = 8 << 20, most: int = 1 << 20) -> int:
@@ -77,3 +77,32 @@ def decoded(values) -> list[bytes]:
     import pyarrow as pa
 
     return [b"" if x is None else x for x in values.cast(pa.large_binary()).to_pylist()]
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, kept for the worker's next batches up to a bound."""
+
+    def __init__(self, bound: int = 300_000):
+        self.bound = bound
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) >= self.bound:
+            self.clear()
+        value = self[word] = xxh64_intdigest(word, 0x5EED)
+        return value
+
+    def of(self, words: list[bytes]):
+        import numpy as np
+
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def mixed(x):
+    """A bijection of 64-bit words that spreads every bit over all others (numpy, wraps around)."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

@@ -150,8 +150,8 @@ def decode_documents(encoded: DataFrame, path: str | None = None, id_col: str =
     return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, text string")
 
 
-def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Encode every text, decode its ids, and return the digests of both.
+def round_trip(docs: DataFrame, path: str | None = None, ids: bool = False) -> DataFrame:
+    """Encode every text, decode its ids, and return the digests of both, and the ids themselves if asked for.
 
     One pass without a shuffle: a lost executor costs only the tasks that it ran. The ids of one batch of rows and a
     bounded table of matches are all that a worker holds.
@@ -162,16 +162,18 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
         coder, sha = codec(path), hashlib.sha256
         for batch in batches:
             packed = coder.packed(batch.column(1).to_pylist())
+            more = [pa.array([np.frombuffer(p, "<i4") for p in packed], pa.list_(pa.int32()))] if ids else []
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([len(p) // 4 for p in packed], pa.int64()),
                     pa.array([sha(p).hexdigest() for p in packed], pa.string()),
                     pa.array([sha(coder.decode_bytes(p)).hexdigest() for p in packed], pa.string()),
+                    *more,
                 ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids],
             )
 
     session(docs.sparkSession)
     columns = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return columns.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return columns.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)

@@ -57,16 +57,32 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     return levelled.select("source", "source_size", F.least((F.col("best.left") * F.col("weight")) / F.col("best.shared"), (cap * F.col("source_size")).cast("double")).alias("target"))
 
 
+def rated(rows: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """``rows``, with ``source`` and ``size``, and ``source_size``, ``target`` and ``rate`` of their source."""
+    aims = written(targets(rows.select("source", "size"), weights, cap), "targets")
+    small = aims.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    named = aims.select(F.col("source").alias("aim"), "source_size", "target")
+    met = rows.join(F.broadcast(named) if small else named, F.col("source").eqNullSafe(F.col("aim"))).drop("aim")
+    return met.withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0))
+
+
+def copies(seed: int = SEED) -> Column:
+    """How often a row of ``doc_id`` and ``rate`` is taken."""
+    extra = draw("doc_id", seed) < F.floor((F.col("rate") - F.floor("rate")) * F.lit(2**32))
+    return F.floor("rate") + extra.cast("long")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs``, with all their columns, as often as the mix takes them."""
+    # names of their own, as the documents may have columns of any name
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
+    taken = rated(rows, cap, weights).select("row", copies(seed).alias("n")).filter("n > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("row.*")
+
+
 def mixed_sizes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` of every row. Texts are read once, for their sizes."""
     columns = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), word_count(docs["text"].cast("string")).alias("size"))
     sizes = written(columns, "sizes")
-    aims = written(targets(sizes.select("source", "size"), weights, cap), "targets")
-    small = aims.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    named = aims.select(F.col("source").alias("aim"), "source_size", "target")
-    met = sizes.join(F.broadcast(named) if small else named, F.col("source").eqNullSafe(F.col("aim")))
-    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
-    rated = met.select("doc_id", "source", "size", "source_size", "target", rate.alias("rate"))
-    extra = (draw("doc_id", seed) < F.floor((F.col("rate") - F.floor("rate")) * F.lit(2**32))).cast("long")
-    counted = rated.select("*", (F.floor("rate") + extra).alias("copies"))
+    counted = rated(sizes, cap, weights).withColumn("copies", copies(seed))
     return counted.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))

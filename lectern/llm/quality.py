@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -243,3 +244,15 @@ def held_out_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRE
     return scores(docs, model).select(
         "doc_id", F.coalesce(bucket_of("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that a model learned as in ``held_out_quality`` doesn't reject."""
+    learn = bucket_of("doc_id", FOLDS) != HELD_OUT
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text").filter(learn), labels.select("doc_id", "quality").filter(learn)))
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.score([b"" if t is None else t.encode() for t in texts]), dtype="float64")
+
+    return docs.filter(score(F.col("text").cast("string")) >= threshold)

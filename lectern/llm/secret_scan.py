@@ -163,3 +163,12 @@ def redacted(text: str, spans: str, by: str = "[SECRET]") -> Column:
 
     rest = lambda acc: F.concat(F.array_join(F.array_append(acc["kept"], F.lit("")), by), F.substring(F.col(text), acc["at"] + 1, F.char_length(text)))
     return F.when(F.size(spans) > 0, F.aggregate(F.array_sort(spans), zero, step, rest)).otherwise(F.col(text))
+
+
+def without_secrets(docs: DataFrame, table: list[float] | None = None) -> DataFrame:
+    """``docs`` with every span of a secret in ``text`` replaced; ``n_chars``, if there, counts the new text's."""
+    # names of their own, as the documents may have columns of any name
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    clean = scanned(rows, table).select("row", F.when(F.col("row.text").isNotNull(), redacted("text", "all")).alias("clean"))
+    new = {"text": F.col("clean"), "n_chars": F.char_length(F.coalesce("clean", F.lit(""))).cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return clean.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])

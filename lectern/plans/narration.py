@@ -7,6 +7,7 @@ sentences, then their block, then the sections that end there, innermost first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -60,7 +61,8 @@ def spoken_blocks(blocks: DataFrame, footnotes: str = "inline") -> DataFrame:
     return blocks.select("*", block_id.alias("item_id"), said.alias("said"), cue.alias("cue"), ((k == "Footnote") & (footnotes == "end")).alias("deferred"), warning.alias("warning"))
 
 
-def plan(library: Library, footnotes: str = "inline") -> Plan:
+def plan(library: Library, footnotes: str = "inline", keep: Callable[[DataFrame, str], DataFrame] = lambda df, label: df) -> Plan:
+    """``keep`` may write the units, which the cues read too, and cut the lineage there."""
     kept, tops = pruned(library.sections)
     told = spoken_blocks(library.blocks, footnotes).join(kept.select("book_id", "section_id"), ["book_id", "section_id"], "left_semi")
     headings = kept.filter(~F.col("kind").isin("Book", "BodyMatter") & F.col("title").isNotNull()).select(
@@ -71,10 +73,10 @@ def plan(library: Library, footnotes: str = "inline") -> Plan:
     split = spoken.select("*", F.posexplode(sentences("spoken")).alias("sentence_no", "text"))
     order = Window.partitionBy("book_id").orderBy("deferred", "preorder", "block_ord", "sentence_no")
     empty = F.create_map().cast("map<string,bigint>")
-    units = split.select(
+    units = keep(split.select(
         "book_id", (F.row_number().over(order) - 1).alias("unit_ord"), F.concat_ws(":", "item_id", F.lit("sentence"), (F.col("sentence_no") + 1).cast("string")).alias("unit_id"), "section_id", F.col("said").alias("original_text"), "text",
         "source_id", "start", "stop", F.when(F.col("sentence_no") == 0, F.col("repairs")).otherwise(empty).alias("repairs"), "item_id", "cue", "deferred", "preorder", "block_ord", "sentence_no",
-    )
+    ), "units")
     skipped = tops.select("book_id", "preorder", F.lit(0).alias("at"), F.concat(F.lit("Skipped "), kind_label("kind"), F.lit(' section "'), F.coalesce("title", F.lit("Untitled")), F.lit('" by default narration policy')).alias("warning"))
     warned = told.filter("warning is not null").select("book_id", "preorder", F.col("block_ord").alias("at"), "warning")
     warnings = skipped.unionByName(warned).select("book_id", (F.row_number().over(Window.partitionBy("book_id").orderBy("preorder", "at")) - 1).alias("warning_ord"), "warning")

@@ -1,15 +1,16 @@
-"""What the operators of this subpackage share: the shared folder, written tables and batch sizes."""
+"""What the operators of this subpackage share: written tables, batch sizes and word hashes."""
 
 from __future__ import annotations
 
 import math
-import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import purge, shared_dir, written
+
+__all__ = ["purge", "shared_dir", "written"]
+
 #: Words are runs of anything but these six ASCII blanks; ``bytes.split()`` without arguments cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,34 +24,6 @@ def session(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local master gets a temporary folder; a cluster must name one.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
-        found = sc.getCheckpointDir()
-    return f"{found.rstrip('/')}/lectern-{sc.applicationId}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and gives the planner true sizes."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def purge(spark: SparkSession) -> None:
-    """Delete the tables written so far. Call it when no result that reads them is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def plan_bytes(df: DataFrame) -> int:
     """The planner's estimate of the size of ``df``; for files, their size. Reads nothing."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

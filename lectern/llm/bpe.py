@@ -94,8 +94,9 @@ class ByteBPE:
         """First and last-plus-one code point that each token touches; tokens inside one character share it."""
         raw = np.frombuffer(text.encode(), np.uint8)
         char_of = np.cumsum((raw & 0xC0) != 0x80) - 1
-        ends = np.cumsum([len(self.token_bytes[i]) for i in ids], dtype=np.int64)
-        starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
+        sizes = np.array([len(self.token_bytes[i]) for i in ids], np.int64)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
         return char_of[starts], char_of[ends - 1] + 1
 
     def decode_bytes(self, packed: bytes) -> bytes:

@@ -209,6 +209,16 @@ def archive_paths(spark, sf_dir):
     return urls.select("page_id", S.archive_path(F.lit("a/b"), reference).alias("resolved"), S.percent_decoded(reference).alias("decoded"))
 
 
+def html_blocks(spark, sf_dir):
+    """Blocks of the raw web pages, with the section that each stands in."""
+    from .sources.html import import_html
+    from .sources.model import import_with, unnested
+
+    files = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").cast("string").alias("book_id"), F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    found = unnested(import_with(files, import_html)).blocks
+    return found.select(F.col("book_id").cast("long").alias("page_id"), "section_id", "block_ord", "kind", F.coalesce("text", "caption", "alt_text").alias("text"))
+
+
 def voices(spark, sf_dir):
     from .sources.static import voices as table
 
@@ -219,6 +229,6 @@ def queries() -> dict[str, Query]:
     named = [
         narration_totals, speech_normalize, repair_counts_by_rule, sentence_split, conversation_sentences, greedy_chunks, pack_sentences, whole_text_paragraphs, ascii_fold, txt_sections, txt_blocks, section_word_counts,
         narration_units, unit_timeline, cue_intervals, page_cues_forward_asof, visible_chapters, chapter_islands, cache_hits, manifest_counts, page_labels_backward_asof, outline_assignment, clamped_levels, section_parents,
-        issue_dedup_keep_first, unresolved_issues, suggestion_tokens, preflight_report, phoneme_tokens, archive_paths, voices,
+        issue_dedup_keep_first, unresolved_issues, suggestion_tokens, preflight_report, phoneme_tokens, archive_paths, html_blocks, voices,
     ]
     return {f.__name__: f for f in named}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ascii_lower
 from ..storage import written
 from .html import import_html
+from .markdown import import_markdown
 from .model import import_with, unnested
 from .schema import Library
 from .text import import_text
@@ -18,7 +19,7 @@ FORMATS = {
     "text": (("txt", "text"), 32 * MIB), "markdown": (("md", "markdown"), 32 * MIB), "html": (("html", "htm", "xhtml"), 32 * MIB),
     "epub": (("epub",), 512 * MIB), "kindle": (("mobi", "azw3"), 128 * MIB),
 }
-IMPORTERS = {"html": import_html}
+IMPORTERS = {"html": import_html, "markdown": import_markdown}
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower
 from ..storage import written
+from .epub import import_epub
 from .html import import_html
 from .markdown import import_markdown
 from .model import import_with, unnested
@@ -19,7 +20,7 @@ FORMATS = {
     "text": (("txt", "text"), 32 * MIB), "markdown": (("md", "markdown"), 32 * MIB), "html": (("html", "htm", "xhtml"), 32 * MIB),
     "epub": (("epub",), 512 * MIB), "kindle": (("mobi", "azw3"), 128 * MIB),
 }
-IMPORTERS = {"html": import_html, "markdown": import_markdown}
+IMPORTERS = {"html": import_html, "markdown": import_markdown, "epub": import_epub}
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

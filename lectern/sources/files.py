@@ -9,6 +9,7 @@ from ..functions.text import ascii_lower
 from ..storage import written
 from .epub import import_epub
 from .html import import_html
+from .kindle import import_kindle
 from .markdown import import_markdown
 from .model import import_with, unnested
 from .schema import Library
@@ -20,7 +21,7 @@ FORMATS = {
     "text": (("txt", "text"), 32 * MIB), "markdown": (("md", "markdown"), 32 * MIB), "html": (("html", "htm", "xhtml"), 32 * MIB),
     "epub": (("epub",), 512 * MIB), "kindle": (("mobi", "azw3"), 128 * MIB),
 }
-IMPORTERS = {"html": import_html, "markdown": import_markdown, "epub": import_epub}
+IMPORTERS = {"html": import_html, "markdown": import_markdown, "epub": import_epub, "kindle": import_kindle}
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

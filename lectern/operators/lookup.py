@@ -57,21 +57,23 @@ def clamped_levels(rows: DataFrame, by: str = "book_id", at: str = "item", level
 
 
 def parents(rows: DataFrame, by: str = "book_id", at: str = "preorder", level: str = "level") -> DataFrame:
-    """``by, at, parent``: the latest row before each with a smaller level; null for the topmost.
+    """``by, at, parent, above``: the latest row before each with a smaller level, and all rows open above it, outermost
+    first; the topmost have a null parent.
 
     A stack folded over each book's rows: the open rows have ascending levels, so each row closes those that are not
     above it.
     """
     listed = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(level).cast("int").alias("level")))).alias("rows"))
-    kind = listed.schema["rows"].dataType.elementType["at"].dataType
-    zero = F.struct(F.array().cast(listed.schema["rows"].dataType).alias("open"), F.array().cast(f"array<struct<at:{kind.simpleString()},parent:{kind.simpleString()}>>").alias("out"))
+    kind = listed.schema["rows"].dataType.elementType["at"].dataType.simpleString()
+    zero = F.struct(F.array().cast(listed.schema["rows"].dataType).alias("open"), F.array().cast(f"array<struct<at:{kind},above:array<{kind}>>>").alias("out"))
 
     def step(acc: Column, row: Column) -> Column:
         kept = F.filter(acc["open"], lambda o: o["level"] < row["level"])
-        return F.struct(F.array_append(kept, row).alias("open"), F.array_append(acc["out"], F.struct(row["at"].alias("at"), F.get(kept, F.size(kept) - 1)["at"].alias("parent"))).alias("out"))
+        above = F.transform(kept, lambda o: o["at"])
+        return F.struct(F.array_append(kept, row).alias("open"), F.array_append(acc["out"], F.struct(row["at"].alias("at"), above.alias("above"))).alias("out"))
 
     folded = listed.select(by, F.explode(F.aggregate("rows", zero, step, lambda acc: acc["out"])).alias("r"))
-    return folded.select(by, F.col("r.at").alias(at), F.col("r.parent").alias("parent"))
+    return folded.select(by, F.col("r.at").alias(at), F.get("r.above", F.size("r.above") - 1).alias("parent"), F.col("r.above").alias("above"))
 
 
 def sole(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:

@@ -166,7 +166,7 @@ def clamped_levels(spark, sf_dir):
 
 def section_parents(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") % 50).alias("book_id"), F.floor(F.col("doc_id") / 50).alias("preorder"), (F.col("n_chars") % 5).alias("level"))
-    return lookup.parents(rows)
+    return lookup.parents(rows).drop("above")
 
 
 def prepared(spark, sf_dir):

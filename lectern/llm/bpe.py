@@ -26,7 +26,7 @@ from .common import session
 #: Vocabulary file of the query; the path is a parameter everywhere else.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Distinct matches that a worker keeps, and the longest that it keeps.
-KEPT, KEPT_CHARS = 400_000, 40
+KEPT, KEPT_CHARS = 120_000, 40
 
 
 def default_path() -> str:

@@ -15,7 +15,7 @@ __all__ = ["purge", "shared_dir", "written"]
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows of an Arrow batch. Texts have no length limit, so batches are kept short.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 
 
 def session(spark: SparkSession) -> SparkSession:

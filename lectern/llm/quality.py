@@ -37,7 +37,7 @@ FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 #: Weight decay of the network.
 DECAY = 5e-3
 #: Words whose vectors a worker keeps.
-KEPT = 150_000
+KEPT = 60_000
 
 
 def index_vectors(n: int = CONTEXTS, width: int = WIDTH, ones: int = ONES, seed: int = 11) -> np.ndarray:
@@ -158,14 +158,16 @@ class Model:
 
 def word_contexts(texts: list[bytes]) -> tuple[dict[bytes, int], np.ndarray]:
     """Of each frequent word, its row, and there the normed sum of the index vectors of its neighbours; row 0 is zero."""
-    index = index_vectors(seed=13)
-    split = [t.split() for t in texts]
-    known = [w for w, n in sorted(Counter(w for words in split for w in words).items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY] if n > 1]
+    index, counts = index_vectors(seed=13), Counter()
+    for text in texts:
+        counts.update(text.split())
+    known = [w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY] if n > 1]
+    del counts
     place = {w: k for k, w in enumerate(known)}
     own = np.array([zlib.crc32(w) % CONTEXTS for w in known], int)
     sums = np.zeros((len(known) + 1, WIDTH), np.float32)
-    for words in split:
-        at = np.array([place.get(w, -1) for w in words], int)
+    for text in texts:  # cut again rather than kept: words take many times the space of their text
+        at = np.array([place.get(w, -1) for w in text.split()], int)
         for away in range(1, AROUND + 1):
             left, right = at[:-away], at[away:]
             both = (left >= 0) & (right >= 0)
@@ -219,9 +221,10 @@ def fit(docs: DataFrame, labels: DataFrame, texts: int = TEXTS) -> Model:
     drawn = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < min(1.0, texts / max(1, count)) * (1 << 32)).limit(2 * texts)
     # about ``texts`` rows of two numbers, never above twice as many
     met = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
-    rows = sorted((r["doc_id"], r["quality"], r["text"]) for r in met.limit(4 * texts).collect())
+    rows = met.select("doc_id", "quality", F.encode("text", "UTF-8").alias("text")).limit(4 * texts).toArrow()
+    rows = sorted(zip(rows["doc_id"].to_pylist(), rows["quality"].to_pylist(), rows["text"].to_pylist()))
     order = np.random.default_rng(3).permutation(len(rows))
-    return train([rows[k][2].encode() for k in order], np.array([rows[k][1] for k in order]))
+    return train([rows[k][2] for k in order], np.array([rows[k][1] for k in order]))
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:

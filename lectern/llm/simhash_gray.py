@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import decoded, session, written
@@ -165,6 +165,19 @@ def classes(codes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return components(stars(found, radius)).select(F.col("node").alias("code"), "root")
 
 
+def one_of_each(docs: DataFrame, made: DataFrame, found: DataFrame, code: Column) -> DataFrame:
+    """One row of ``docs`` of each class. ``made`` has ``doc_id, code, rows``, ``found`` ``code, root``; ``code`` reads ``text``."""
+    key = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)).alias("id"), "code", "rows")
+    chosen = made.join(found, "code", "left").groupBy(F.coalesce("root", "code").alias("root")).agg(F.min(key).alias("k"))
+    chosen = chosen.select(F.col("k.col1").alias("no_id"), F.col("k.id").alias("id"), F.col("k.code").alias("code"), F.col("k.rows").alias("rows"))
+    # names of their own, as the documents may have columns of any name
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), code.alias("code"))
+    met = rows.join(chosen, ["no_id", "id", "code"])
+    single = met.filter("rows = 1").select("row")
+    repeated = met.filter("rows > 1").groupBy("no_id", "id", "code").agg(F.first("row").alias("row")).select("row")
+    return single.unionByName(repeated).select("row.*")
+
+
 def deduplicated(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """One row of each class, with all its columns: that of the smallest id, null ids last, then of the smallest code.
 
@@ -177,15 +190,7 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE)
 
     made = written(fingerprints(docs, shingle).groupBy("doc_id", "code").agg(F.count("*").alias("rows")), "fingerprints")
     found = written(classes(made.select("code").distinct(), radius), "classes")
-    key = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)).alias("id"), "code", "rows")
-    chosen = made.join(found, "code", "left").groupBy(F.coalesce("root", "code").alias("root")).agg(F.min(key).alias("k"))
-    chosen = chosen.select(F.col("k.col1").alias("no_id"), F.col("k.id").alias("id"), F.col("k.code").alias("code"), F.col("k.rows").alias("rows"))
-    # names of their own, as the documents may have columns of any name
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), code_of(F.col("text").cast("string")).alias("code"))
-    met = rows.join(chosen, ["no_id", "id", "code"])
-    single = met.filter("rows = 1").select("row")
-    repeated = met.filter("rows > 1").groupBy("no_id", "id", "code").agg(F.first("row").alias("row")).select("row")
-    return single.unionByName(repeated).select("row.*")
+    return one_of_each(docs, made, found, code_of(F.col("text").cast("string")))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:

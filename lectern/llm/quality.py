@@ -20,6 +20,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -57,28 +58,36 @@ def _classes() -> np.ndarray:
 
 
 CLASS = _classes()
-#: Bytes of a word that its vector reads; words whose vectors are made together; bytes of texts scored together.
-WORD_BYTES, TOGETHER, GROUP = 256, 4096, 1 << 18
+#: Bytes of a word that are read in one piece; pieces read together; bytes of texts scored together.
+PIECE, TOGETHER, GROUP = 256, 4096, 1 << 18
 
 
 def word_vectors(words: list[bytes], index: np.ndarray) -> np.ndarray:
-    """Unit vectors of words: the index vectors of their letter trigrams and, twice, of the changes of byte class."""
-    out = np.empty((len(words), WIDTH), np.float32)
-    for first in range(0, len(words), TOGETHER):
-        some = [b"\x01" + w[:WORD_BYTES] + b"\x02" for w in words[first : first + TOGETHER]]
-        raw = np.frombuffer(b"".join(some), np.uint8).astype(np.uint32)
-        owner = np.repeat(np.arange(len(some)), [len(w) for w in some])
+    """Unit vectors of words: the index vectors of their letter trigrams and, twice, of the changes of byte class.
+
+    Long words are read in pieces that share two bytes, and the pieces' sums added up.
+    """
+    sums = np.zeros((len(words), WIDTH), np.float32)
+    # all pieces of a word but the last leave its last change to the next one
+    cut = ((k, w[at : at + PIECE], at + PIECE >= len(w)) for k, w in ((k, b"\x01" + w + b"\x02") for k, w in enumerate(words)) for at in range(0, max(1, len(w) - 2), PIECE - 2))
+    while some := list(islice(cut, TOGETHER)):
+        word, last = np.array([k for k, _, _ in some]), np.array([x for _, _, x in some])
+        raw = np.frombuffer(b"".join(p for _, p, _ in some), np.uint8).astype(np.uint32)
+        owner = np.repeat(np.arange(len(some)), [len(p) for _, p, _ in some])
         gram = np.flatnonzero(owner[2:] == owner[:-2])
         code = (raw[gram] | raw[gram + 1] << np.uint32(8) | raw[gram + 2] << np.uint32(16)) * np.uint32(0x9E3779B1) >> np.uint32(15)
         starts = np.concatenate(([0], np.flatnonzero(np.diff(owner[gram])) + 1))
-        sums = np.add.reduceat(index[code % CONTEXTS], starts, axis=0)
+        np.add.at(sums, word[owner[gram[starts]]], np.add.reduceat(index[code % CONTEXTS], starts, axis=0))
         kind = CLASS[raw]
-        turn = np.flatnonzero((owner[1:] == owner[:-1]) & (kind[1:] != kind[:-1]))
-        code = (kind[turn] << np.uint32(8) | kind[turn + 1]) * np.uint32(0x85EBCA6B) >> np.uint32(13)
-        starts = np.concatenate(([0], np.flatnonzero(np.diff(owner[turn])) + 1))
-        sums += 2 * np.add.reduceat(index[code % CONTEXTS], starts, axis=0)
-        out[first : first + len(some)] = sums / np.maximum(1e-6, np.sqrt((sums**2).sum(axis=1, keepdims=True)))
-    return out
+        turn = (owner[1:] == owner[:-1]) & (kind[1:] != kind[:-1])
+        turn[:-1] &= last[owner[:-2]] | (owner[2:] == owner[:-2])
+        turn[-1] &= last[-1]
+        turn = np.flatnonzero(turn)
+        if len(turn):
+            code = (kind[turn] << np.uint32(8) | kind[turn + 1]) * np.uint32(0x85EBCA6B) >> np.uint32(13)
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(owner[turn])) + 1))
+            np.add.at(sums, word[owner[turn[starts]]], 2 * np.add.reduceat(index[code % CONTEXTS], starts, axis=0))
+    return sums / np.maximum(1e-6, np.sqrt((sums**2).sum(axis=1, keepdims=True)))
 
 
 @dataclass

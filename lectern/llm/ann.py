@@ -126,9 +126,14 @@ def _search(k: int):
         asks = group["asks"].to_numpy()
         ids, x = group["vec_id"].to_numpy(), matrix(group["vector"].combine_chunks())
         found, rows = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))], np.flatnonzero(~asks)
+        rows = rows[np.argsort(ids[rows], kind="stable")]
         here, y = ids[rows], np.ascontiguousarray(x[rows])
+        first = np.flatnonzero(np.concatenate(([True], here[1:] != here[:-1]))) if len(here) else rows
+        here = here[first]
         for q in np.flatnonzero(asks):
             scores = np.einsum("cd,d->c", y, x[q])  # one order of summing for every row: equal vectors get equal scores
+            if len(first) < len(scores):
+                scores = np.maximum.reduceat(scores, first)  # rows that share an id are one candidate
             keep = here != ids[q]
             some, own = here[keep], scores[keep]
             at = best(some, own, k)

@@ -1,8 +1,10 @@
 """Secret scans, with DataFrame and SQL functions only.
 
 Three patterns find assignments, access keys and hexadecimal runs. Longer tokens outside those spans are judged by two
-character Markov models, of random strings and of ordinary identifiers: the sum of the log-likelihood ratios of a
-token's characters, each given the one before it, must pass a threshold. The models are counted in Spark from labelled
+character Markov models, of random strings and of ordinary identifiers: the sum of the log-likelihood ratios of the
+characters, each given the one before it, must pass a threshold in some stretch of the token, so that a name or path
+glued to a key doesn't cancel it. A plain word or number is judged by the sum over all of it, and a token of 12 to 19
+characters only if it has a digit and four letters, as prose has many odd words of that length. The models are counted in Spark from labelled
 samples; their table has one entry for each pair of characters, whatever the number of samples.
 
 Positions are found without a user function: the texts between matches and the matches alternate, so running sums of
@@ -38,7 +40,11 @@ ORDINARY = (
     "appartement connaissance développement gouvernement naturellement"
 ).split()
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Shortest token that is judged at all, and what one below ``LEAST_RANDOM`` must have.
+LEAST_SHORT = 12
+TOKEN = f"[A-Za-z0-9+/_=-]{{{LEAST_SHORT},}}"
+SHORT = r"^(?=.*[0-9])(?:[^A-Za-z]*[A-Za-z]){4}"
+PLAIN = r"^([A-Z]?[a-z]+|[0-9]+)$"
 #: Log-likelihood ratio above which a token counts as random: the prior odds against it.
 THRESHOLD = 10.0
 #: Matches that one step of a running sum takes, so that long lists cost in proportion.
@@ -78,16 +84,32 @@ def train(samples: DataFrame) -> list[float]:
     return [math.log(x / sum(p)) - math.log(y / sum(q)) for p, q in zip(counts[True], counts[False]) for x, y in zip(p, q)]
 
 
-def ratio(token: str | Column, table: list[float]) -> Column:
-    """The log-likelihood ratio of a token of ``ALPHABET``'s characters."""
+def _summed(token: str | Column, table: list[float], restart: bool) -> Column:
     lookup = F.split(F.lit(",".join(f"{x:.9g}" for x in table)), ",").cast("array<double>")
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("p"))
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("most"), F.lit(0).alias("p"))
 
     def step(acc: Column, c: Column) -> Column:
         place = F.position(c, F.lit(ALPHABET))
-        return F.struct((acc["s"] + F.element_at(lookup, acc["p"] * len(ALPHABET) + place)).alias("s"), place.alias("p"))
+        before = F.greatest(acc["s"], F.lit(0.0)) if restart else acc["s"]
+        s = before + F.element_at(lookup, acc["p"] * len(ALPHABET) + place)
+        return F.struct(s.alias("s"), F.greatest(acc["most"], s).alias("most"), place.alias("p"))
+
+    return F.aggregate(F.filter(F.split(token, ""), lambda c: c != ""), start, step, lambda acc: acc["most" if restart else "s"])
+
+
+def ratio(token: str | Column, table: list[float]) -> Column:
+    """The log-likelihood ratio of a token of ``ALPHABET``'s characters."""
+    return _summed(token, table, False)
+
+
+def best_ratio(token: str | Column, table: list[float]) -> Column:
+    """The largest log-likelihood ratio of any stretch of the token."""
+    return _summed(token, table, True)
+
 
-    return F.aggregate(F.filter(F.split(token, ""), lambda c: c != ""), start, step, lambda acc: acc["s"])
+def is_random(token: Column, table: list[float], threshold: float = THRESHOLD) -> Column:
+    some = best_ratio(token, table) > threshold
+    return F.when(F.char_length(token) < LEAST_RANDOM, token.rlike(SHORT) & some).when(token.rlike(PLAIN), ratio(token, table) > threshold).otherwise(some)
 
 
 def placed(text: str, pattern: str, keep) -> Column:
@@ -134,7 +156,7 @@ def scanned(docs: DataFrame, table: list[float] | None = None, threshold: float
             placed("text", ACCESS, lambda m: F.char_length(m) >= LEAST_ACCESS).alias("access"),
             # a whole run is one match, so runs that are too short can be passed over at once
             placed("text", HEX[:-1] + f"{{{LEAST_HEX},}}", lambda m: F.lit(True)).alias("hex"),
-            placed("text", TOKEN, lambda m: ratio(m, table) > threshold).alias("token"),
+            placed("text", TOKEN, lambda m: is_random(m, table, threshold)).alias("token"),
         ).alias("scan"),
     )
     base = F.array_sort(F.concat(*[_marked(f"scan.{k}", k) for k in KINDS[:3]]))

@@ -64,13 +64,15 @@ def text_heading(line: str | Column) -> Column:
     colon or dash sets the title off.
     """
     words = tokens(line)
+    begins = col(line).rlike("^(?i:chapter|part|book) ")
     first, second, third = (F.get(words, k) for k in range(3))
     kind = F.when(ascii_lower(first) == "chapter", "Chapter").when(ascii_lower(first).isin("part", "book"), "Part")
     number = F.regexp_replace(second, "^[:.\\-–—]+|[:.\\-–—]+\\z", "")
     shouted = ~col(line).rlike(r"[\p{IsAlphabetic}&&\P{IsUppercase}]")
     apart = second.endswith(":") | F.coalesce(third.isin(":", "-", "–", "—"), F.lit(False))
-    good = (F.char_length(col(line)) <= 120) & kind.isNotNull() & is_heading_identifier(number) & ((F.size(words) <= 2) | shouted | apart)
-    return F.when(good, F.struct(kind.alias("kind"), display_heading(line).alias("title")))
+    good = kind.isNotNull() & is_heading_identifier(number) & ((F.size(words) <= 2) | shouted | apart)
+    # hardly any line begins so, and the others need no more than that look
+    return F.when(begins & (F.char_length(col(line)) <= 120), F.when(good, F.struct(kind.alias("kind"), display_heading(line).alias("title"))))
 
 
 def semantic_kind(c: str | Column) -> Column:

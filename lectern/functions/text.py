@@ -54,26 +54,36 @@ def paragraphs(c: str | Column) -> Column:
     return F.regexp_replace(F.regexp_replace(spaced, "\n", " "), "\u0001", "\n\n")
 
 
-# The rules of speech normalisation in their order, as (rule, pattern, replacement).
+# The rules of speech normalisation in their order, as (rule, what it replaces, replacement). A text is
+# replaced as it is; a pattern stands in REGEX with a sign that every match holds.
 LITERAL_RULES = [
     ("soft_hyphen_line_join", "-\r\n", ""),
     ("soft_hyphen_line_join", "-\n", ""),
     ("soft_hyphen_line_join", "-\r", ""),
     ("soft_hyphen", "\u00ad", ""),
     ("currency_expansion", r"\$([0-9,.]+)", "$1 dollars"),
-    ("non_breaking_space", "[\u00a0\u2007\u202f]", " "),
-    ("zero_width", "[\u200b\u200c\u200d\ufeff]", ""),
-    ("dash", "[—–]", ", "),
-    ("curly_quote", "[“”]", '"'),
-    ("curly_apostrophe", "[‘’]", "'"),
+    ("non_breaking_space", "\u00a0", " "),
+    ("non_breaking_space", "\u2007", " "),
+    ("non_breaking_space", "\u202f", " "),
+    ("zero_width", "\u200b", ""),
+    ("zero_width", "\u200c", ""),
+    ("zero_width", "\u200d", ""),
+    ("zero_width", "\ufeff", ""),
+    ("dash", "—", ", "),
+    ("dash", "–", ", "),
+    ("curly_quote", "“", '"'),
+    ("curly_quote", "”", '"'),
+    ("curly_apostrophe", "‘", "'"),
+    ("curly_apostrophe", "’", "'"),
     ("ellipsis", "…", "..."),
-    ("currency_expansion", r"\$", " dollars "),
+    ("currency_expansion", "$", " dollars "),
     ("multiply_expansion", "×", " times "),
     ("equals_expansion", "=", " equals "),
     ("copyright_expansion", "©", " copyright "),
     ("spaced_ellipsis", rf"\.{WS}*\.{WS}*\.", "..."),
     ("numeric_citation", r"\[[0-9,\- ]+\]", ""),
 ]
+REGEX = {r"\$([0-9,.]+)": "$", rf"\.{WS}*\.{WS}*\.": ".", r"\[[0-9,\- ]+\]": "["}
 URL_TOKEN = r"""(?s)^([(\[{"']*)(https?://.*?)([.,;:!?)\]}"']*)\z"""
 # How the signs of an address are spoken.
 URL_SIGNS = [(".", "dot"), ("/", "slash"), ("-", "dash"), ("_", "underscore"), ("?", "question mark"), ("&", "and"), ("=", "equals"), ("#", "hash")]
@@ -87,26 +97,56 @@ def spoken_url(token: Column) -> Column:
     return F.concat(F.regexp_extract(token, URL_TOKEN, 1), inline(core), F.regexp_extract(token, URL_TOKEN, 3))
 
 
+def _applied(pattern: str, by: str, before: str, after: str) -> tuple[Column, Column]:
+    """What a rule leaves of the column ``before``, and how often it acted, told from that and ``after``.
+
+    A text that is replaced as it is changes its length by the same amount each time, so it is counted for free.
+    """
+    old = F.col(before)
+    if pattern in REGEX:
+        there = F.contains(old, F.lit(REGEX[pattern]))
+        return F.when(there, F.regexp_replace(old, pattern, by)).otherwise(old), F.when(there, F.regexp_count(old, F.lit(pattern))).otherwise(0)
+    step = len(by.encode()) - len(pattern.encode())
+    size = F.octet_length if step else F.char_length
+    step = step or len(by) - len(pattern)
+    return F.replace(old, F.lit(pattern), F.lit(by)), ((size(F.col(after)) - size(old)) / step).cast("int")
+
+
 def with_speech(df: DataFrame, text: str = "text", spoken: str = "spoken", report: str = "repairs") -> DataFrame:
     """``df`` with the text as it is read aloud and a map of how often each rule changed it (rules that didn't are absent).
 
-    A rule reads what the rule before it left, so each is a projection of its own and no expression is repeated.
+    A rule reads what the rule before it left, so each is a projection of its own, used twice by the next, which keeps
+    the optimizer from merging them. A filter on the results would be pushed below all of them and repeat the chain:
+    filter on rows exploded from them (``exploded``) instead.
     """
-    work, counts = df.withColumn(spoken, F.coalesce(F.col(text), F.lit(""))), []
+    work, counts = df.withColumn("__s0", F.coalesce(F.col(text), F.lit(""))), []
     for k, (rule, pattern, by) in enumerate(LITERAL_RULES):
+        before, after = f"__s{k}", f"__s{k + 1}"
+        new, count = _applied(pattern, by, before, after)
         counts.append((rule, f"__n{k}"))
-        work = work.select("*", F.regexp_count(F.col(spoken), F.lit(pattern)).alias(f"__n{k}")).withColumn(spoken, F.regexp_replace(spoken, pattern, by))
-    work = work.withColumn(spoken, tokens(spoken))
+        work = work.withColumn(after, new).withColumn(f"__n{k}", count).drop(before)
+    work = work.withColumn("__t", tokens(f"__s{len(LITERAL_RULES)}"))
     is_url = lambda t: F.contains(t, F.lit("://")) & t.rlike(URL_TOKEN)
-    work = work.withColumn("__url", F.size(F.filter(spoken, is_url)))
+    work = work.withColumn("__url", F.size(F.filter("__t", is_url)))
     counts.append(("url", "__url"))
-    work = work.withColumn(spoken, F.array_join(F.filter(F.transform(spoken, lambda t: F.when(is_url(t), spoken_url(t)).otherwise(t)), lambda t: t != ""), " "))
+    said = F.filter(F.transform("__t", lambda t: F.when(is_url(t), spoken_url(t)).otherwise(t)), lambda t: t != "")
+    work = work.withColumn(spoken, F.array_join(F.when(F.col("__url") > 0, said).otherwise(F.col("__t")), " "))
     totals: dict[str, list[str]] = {}
     for rule, name in counts:
         totals.setdefault(rule, []).append(name)
     total = lambda names: sum((F.col(n) for n in names[1:]), F.col(names[0])).cast("long")
     pairs = F.array(*[F.struct(F.lit(rule).alias("key"), total(names).alias("value")) for rule, names in sorted(totals.items())])
-    return work.withColumn(report, F.map_from_entries(F.filter(pairs, lambda p: p["value"] > 0))).drop(*[n for _, n in counts])
+    return work.withColumn(report, F.map_from_entries(F.filter(pairs, lambda p: p["value"] > 0))).drop("__t", f"__s{len(LITERAL_RULES)}", *[n for _, n in counts])
+
+
+def exploded(df: DataFrame, keep: list[str], listed: str | Column, at: str | None, name: str) -> DataFrame:
+    """``keep``, the place ``at`` (if asked for) and each element ``name`` of a list; rows with an empty list are left out.
+
+    The outer form and a filter on the element: a plain explode makes the optimizer infer a filter on the list's size
+    and push it to the scan, where all that made the list is evaluated a second time, outside of code generation.
+    """
+    made = df.select(*keep, F.posexplode_outer(listed).alias(at, name)) if at else df.select(*keep, F.explode_outer(listed).alias(name))
+    return made.filter(F.col(name).isNotNull())
 
 
 # Abbreviations whose point doesn't end a sentence.

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.structure import cue_kind, is_skipped, kind_label
-from ..functions.text import ascii_lower, is_page_number, sentences, terminated, trim, with_speech
+from ..functions.text import ascii_lower, exploded, is_page_number, sentences, terminated, trim, with_speech
 from ..sources.schema import Library
 
 FOOTNOTES = ("inline", "skip", "end")
@@ -69,8 +69,8 @@ def plan(library: Library, footnotes: str = "inline", keep: Callable[[DataFrame,
         "book_id", "section_id", "preorder", F.lit(0).alias("block_ord"), F.concat(F.col("section_id"), F.lit(":heading")).alias("item_id"), F.col("title").alias("said"), F.lit(None).cast("string").alias("cue"), F.lit(False).alias("deferred"), "source_id", "start", "stop"
     )
     items = headings.unionByName(told.filter("said is not null").select(*headings.columns))
-    spoken = with_speech(items, "said").filter("spoken <> ''")
-    split = spoken.select("*", F.posexplode(sentences("spoken")).alias("sentence_no", "text"))
+    spoken = with_speech(items, "said")
+    split = exploded(spoken, ["*"], sentences("spoken"), "sentence_no", "text")  # none of a unit with nothing to say
     order = Window.partitionBy("book_id").orderBy("deferred", "preorder", "block_ord", "sentence_no")
     empty = F.create_map().cast("map<string,bigint>")
     units = keep(split.select(

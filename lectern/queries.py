@@ -17,7 +17,7 @@ from .functions import text as T
 from .operators import cache, issues, lookup, prepare
 from .plans import narration, sidecar, timeline
 from .sources.text import import_text, text_position
-from .storage import written
+from .storage import spread, written
 
 DECORATED = (
     "concat(case doc_id % 7 when 0 then 'PART I\nCHAPTER ONE\n' when 1 then 'Chapter 1: Start\n\n' when 2 then 'chapter one explains\n' else '' end, text, "
@@ -29,12 +29,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.expr(DECORATED).alias("text"))
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", F.expr(DECORATED).alias("text"))
 
 
 def library(spark: SparkSession, sf_dir: str):
+    """All documents as books. The lines, which every table reads, are written once."""
     named = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("book_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
-    return import_text(named)
+    return import_text(named, keep=written)
 
 
 def planned(spark: SparkSession, sf_dir: str):
@@ -54,25 +55,25 @@ def speech_normalize(spark, sf_dir):
 
 
 def repair_counts_by_rule(spark, sf_dir):
-    each = T.with_speech(documents(spark, sf_dir)).select(F.explode("repairs").alias("rule", "n"))
+    each = T.with_speech(documents(spark, sf_dir)).select(F.explode_outer("repairs").alias("rule", "n")).filter("rule is not null")
     return each.groupBy("rule").agg(F.sum("n").alias("repairs"), F.count("*").alias("documents"))
 
 
 def sentence_split(spark, sf_dir):
-    return T.with_speech(documents(spark, sf_dir)).select("doc_id", F.posexplode(T.sentences("spoken")).alias("sentence_no", "sentence"))
+    return T.exploded(T.with_speech(documents(spark, sf_dir)), ["doc_id"], T.sentences("spoken"), "sentence_no", "sentence")
 
 
 def conversation_sentences(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.posexplode(T.sentences("text")).alias("sentence_no", "sentence"))
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").transform(lambda df: T.exploded(df, ["conv_id", "turn"], T.sentences("text"), "sentence_no", "sentence"))
 
 
 def greedy_chunks(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.posexplode(T.chunks("text", PIECE)).alias("chunk_no", "chunk"))
+    return T.exploded(documents(spark, sf_dir), ["doc_id"], T.chunks("text", PIECE), "chunk_no", "chunk")
 
 
 def pack_sentences(spark, sf_dir):
     spoken = T.with_speech(documents(spark, sf_dir)).select("doc_id", T.sentences("spoken").alias("s"))
-    return spoken.select("doc_id", F.posexplode(T.packed_sentences("s", PACK)).alias("chunk_no", "chunk"))
+    return T.exploded(spoken, ["doc_id"], T.packed_sentences("s", PACK), "chunk_no", "chunk")
 
 
 def whole_text_paragraphs(spark, sf_dir):

@@ -6,6 +6,8 @@ the heading above a line and the paragraph that it belongs to. One shuffle, by b
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,11 +43,14 @@ def outlined(df: DataFrame) -> DataFrame:
     return counted.withColumn("part_no", part).withColumn("para_no", F.sum((is_heading | (F.col("norm") == "")).cast("int")).over(over))
 
 
-def import_text(df: DataFrame) -> Library:
-    """Tables of ``df(book_id, path, text)``; a null text isn't UTF-8 and is rejected."""
+def import_text(df: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda df, label: df) -> Library:
+    """Tables of ``df(book_id, path, text)``; a null text isn't UTF-8 and is rejected.
+
+    All tables come from the outlined lines; ``keep`` may write those, so that they are made once.
+    """
     rejects = df.filter("text is null").select("book_id", "path", F.lit("failed to read UTF-8 text").alias("reason"))
     good = df.filter("text is not null").select("book_id", "path", "text")
-    rows = outlined(good).withColumn("source_id", source_id("path"))
+    rows = keep(outlined(good).withColumn("source_id", source_id("path")).drop("line", "path"), "lines")
     name = lambda n: F.concat(F.lit("section-"), n.cast("string"))
     # the part that stood above a heading of a chapter; a part's own row names itself
     headed = rows.filter("heading is not null").select(

@@ -31,6 +31,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if the files have fewer splits than that; large inputs are left as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def purge(spark: SparkSession) -> None:
     """Delete the tables written so far. Call it when no result that reads them is needed any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))

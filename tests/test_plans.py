@@ -6,6 +6,7 @@ from lectern.functions import text as T
 
 
 def plan_of(df):
+    df.sparkSession.conf.set("spark.sql.debug.maxToStringFields", "1000")
     return df._jdf.queryExecution().executedPlan().toString()
 
 

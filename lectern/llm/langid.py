@@ -4,37 +4,43 @@ Bytes are embedded; filters of several widths slide over fixed-length windows, e
 and a softmax layer reads those. A text is cut into windows that overlap by the widest filter less one byte, so every
 sequence that a filter can see is seen; the windows' probabilities are averaged by their bytes.
 
-Training takes a bounded sample of labelled texts, drawn by a hash of the text and even over languages, and a few
-windows of each. Prediction reads whole texts and nothing else.
-
-Defined results: a null text or one without a letter is ``und`` with score 0, and so is every text when there is
-nothing to learn from; repeated rows get equal results; null ids are kept, in no fold; other columns are left out; an
-empty table gives an empty one.
+Training takes a bounded sample: of each language, whatever their number, the ``TEXTS`` different texts with the least
+hashes (fewer if there are so many languages that all would pass ``TOTAL``, but never below ``LEAST``), and ``CUTS``
+evenly spaced windows of each. Copies of a text count once. Prediction reads whole texts and nothing else.
+
+Defined results: a null text or one without a letter (a character of Unicode's category L) is ``und`` with score 0, and
+so is every text when there is nothing to learn from; equal texts get bit-equal results wherever they stand, as a text
+goes through the network alone; a language with a single text is learned from that; null ids are kept, in no fold;
+other columns are left out; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bucket_of, decoded, session
 
 #: Bytes of a window, sizes of the embedding, widths of the filters and filters of each width.
 LENGTH, EMBED, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 16
-#: Texts of each language in the training sample, about; windows of each text; most languages.
-TEXTS, CUTS, LANGUAGES = 600, 8, 500
+#: Texts of each language in the training sample, windows of each, texts of all languages together, and the least of one.
+TEXTS, CUTS, TOTAL, LEAST = 600, 8, 60_000, 8
 FOLDS, HELD_OUT = 4, 2
 #: Windows that go through the network together.
 BATCH = 256
 WIDE = max(WIDTHS)
-_letter = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: bytes) -> bool:
+    import regex
+
+    return regex.search(r"\p{L}", text.decode()) is not None
 
 
 def windows(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -76,17 +82,15 @@ class Network:
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    def probabilities(self, rows: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.head(self.answers(rows[i : i + BATCH]).max(axis=1)) for i in range(0, len(rows), BATCH)])
-
-    def predict(self, texts: list[bytes]) -> tuple[list[str], list[float]]:
-        cut = [windows(t) for t in texts]
-        sizes = [len(w) for w, _ in cut]
-        p = self.probabilities(np.concatenate([w for w, _ in cut])) * np.concatenate([own for _, own in cut])[:, None]
-        first = np.cumsum([0, *sizes[:-1]])
-        mean = np.add.reduceat(p, first, axis=0) / np.add.reduceat(np.concatenate([own for _, own in cut]), first)[:, None]
-        best = mean.argmax(axis=1)
-        return [self.languages[k] for k in best], np.clip(mean[np.arange(len(best)), best], 0, 1).tolist()
+    def predict(self, text: bytes) -> tuple[str, float]:
+        """The likeliest language and its probability. One text at a time: what else a batch holds can't change a bit."""
+        rows, own = windows(text)
+        p = np.zeros(len(self.languages))
+        for i in range(0, len(rows), BATCH):
+            p += own[i : i + BATCH] @ self.head(self.answers(rows[i : i + BATCH]).max(axis=1)).astype(np.float64)
+        p /= own.sum()
+        best = int(p.argmax())
+        return self.languages[best], float(min(1.0, max(0.0, p[best])))
 
 
 def train(rows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: int = 4, seed: int = 7, rate: float = 3e-3) -> Network:
@@ -126,26 +130,35 @@ def train(rows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: in
     return net
 
 
-def sample(docs: DataFrame, texts: int = TEXTS, cuts: int = CUTS) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows, labels and languages of about ``texts`` texts of each of the ``LANGUAGES`` most frequent languages."""
-    known = docs.filter("text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+def sample(docs: DataFrame, texts: int = TEXTS, cuts: int = CUTS, total: int = TOTAL) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Windows, labels and languages of the ``texts`` different texts of each language that have the least hashes.
+
+    A sketch counts the different texts of each language, and a threshold on the hash that follows from it keeps all but
+    a few times as many as are wanted from being looked at; a text's copies are merged before they move. What reaches
+    the driver is one row a language and the chosen windows.
+    """
+    known = docs.filter("text is not null and lang is not null").select("lang", "text", F.xxhash64("text").alias("hash"))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).collect()}  # one row a language
     if not counts:
         return np.empty((0, LENGTH), np.uint8), np.empty(0, int), []
-    shares = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, texts / n)))])
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 32)) < F.coalesce(F.element_at(shares, F.col("lang")), F.lit(0.0)) * (1 << 32)
+    each = max(LEAST, min(texts, total // len(counts)))
+    shares = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(1.0, 4 * each / max(1, n))))])
+    drawn = F.pmod(F.col("hash"), F.lit(1 << 32)) < F.element_at(shares, F.col("lang")) * (1 << 32)
+    once = known.filter(drawn).groupBy("lang", "hash").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 32)), "hash")
+    chosen = once.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= each).select("lang", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for lang, text in zip(batch.column(0).to_pylist(), decoded(batch.column(1))):
-                if _letter.search(text.decode()):
+                if has_letter(text):
                     rows, _ = windows(text)
                     out += [(lang, rows[k].tobytes()) for k in sorted({*np.linspace(0, len(rows) - 1, cuts).astype(int).tolist()})]
             langs, rows = zip(*out) if out else ([], [])
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(rows, pa.binary())], ["lang", "bytes"])
 
-    got = sorted((r["lang"], bytes(r["bytes"])) for r in known.filter(drawn).select("lang", "text").mapInArrow(cut, "lang string, bytes binary").collect())
+    got = sorted((r["lang"], bytes(r["bytes"])) for r in chosen.mapInArrow(cut, "lang string, bytes binary").collect())
     languages = sorted({lang for lang, _ in got})
     place = {lang: k for k, lang in enumerate(languages)}
     return np.frombuffer(b"".join(b for _, b in got), np.uint8).reshape(-1, LENGTH), np.array([place[lang] for lang, _ in got], int), languages
@@ -159,24 +172,15 @@ def fit(docs: DataFrame, texts: int = TEXTS) -> Network | None:
 
 
 def languages_of(docs: DataFrame, net: Network | None) -> DataFrame:
-    """``doc_id, lang_pred, score`` of every row. One pass without a shuffle; the network is a few hundred kilobytes at most."""
+    """``doc_id, lang_pred, score`` of every row. One pass without a shuffle; the network has about 400 bytes a language and 20 kilobytes."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in batches:
             texts = decoded(batch.column(1))
-            langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-            real = [k for k, t in enumerate(texts) if net and _letter.search(t.decode())]
-            group, held = [], 0
-            for k in [*real, None]:
-                if group and (k is None or held > 1 << 20):
-                    for at, lang, score in zip(group, *net.predict([texts[j] for j in group])):
-                        langs[at], scores[at] = lang, score
-                    group, held = [], 0
-                if k is not None:
-                    group.append(k)
-                    held += len(texts[k])
+            found = {t: net.predict(t) if net and has_letter(t) else ("und", 0.0) for t in set(texts)}
+            langs, scores = zip(*map(found.__getitem__, texts)) if texts else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     session(docs.sparkSession)

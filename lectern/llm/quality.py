@@ -23,7 +23,6 @@ from dataclasses import dataclass, field
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -227,10 +226,13 @@ def fit(docs: DataFrame, labels: DataFrame, texts: int = TEXTS) -> Model:
     session(docs.sparkSession)
     marks = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)")
     count = marks.count()
-    drawn = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < min(1.0, texts / max(1, count)) * (1 << 32)).limit(2 * texts)
-    # about ``texts`` rows of two numbers, never above twice as many
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
+    drawn = marks.filter(place < min(1.0, texts / max(1, count)) * (1 << 32))
+    # about ``texts`` rows of two numbers, never above twice as many: where ids repeat, those of the least hashes
+    drawn = drawn.orderBy(place, "doc_id", "quality").limit(2 * texts)
     met = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
-    rows = met.select("doc_id", "quality", F.encode("text", "UTF-8").alias("text")).limit(4 * texts).toArrow()
+    met = met.orderBy(place, "doc_id", "quality", F.xxhash64("text")).limit(4 * texts)
+    rows = met.select("doc_id", "quality", F.encode("text", "UTF-8").alias("text")).toArrow()
     rows = sorted(zip(rows["doc_id"].to_pylist(), rows["quality"].to_pylist(), rows["text"].to_pylist()))
     order = np.random.default_rng(3).permutation(len(rows))
     return train([rows[k][2] for k in order], np.array([rows[k][1] for k in order]))
@@ -263,8 +265,8 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     learn = bucket_of("doc_id", FOLDS) != HELD_OUT
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text").filter(learn), labels.select("doc_id", "quality").filter(learn)))
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score([b"" if t is None else t.encode() for t in texts]), dtype="float64")
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(shared.value.score(decoded(texts)), pa.float64())
 
     return docs.filter(score(F.col("text").cast("string")) >= threshold)

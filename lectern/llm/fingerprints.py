@@ -4,8 +4,10 @@ Terms are pairs of neighbouring words, weighted by the bit length of their count
 with its weight on every bit. Permuted block tables (``hamming``) bring all fingerprints inside the radius together.
 
 Defined results: a null text is empty; a text without words has fingerprint zero and likeness 1 to another such; a
-text of one word has that word as its term; documents with the same id follow each other in the order of their texts,
-null ids come first; a single document is its own next; other columns are left out; an empty table gives an empty one.
+text of one word has that word as its term; documents with the same id, null ids too, follow each other in the order
+of their texts' XXH64 (seed 42, signed), a null text as the empty one; null ids come first; a single document is its
+own next; repeated rows are neighbours with equal fingerprints; other columns are left out; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mixed, parts, session, written
+from .common import WordHashes, joined_evenly, mixed, parts, session, written
 from .hamming import groups
 
 WORDS, RADIUS = 4, 3
@@ -112,8 +114,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     matched afterwards.
     """
     spark = session(docs.sparkSession)
-    columns = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    ranged = columns.repartitionByRange(parts(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    columns = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    # the text's hash decides between equal ids, null ids too, and the place in the input between equal rows, so that
+    # neither fills a range
+    order = ["doc_id", "hash", "tie"]
+    keyed = columns.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("tie"))
+    ranged = keyed.repartitionByRange(parts(docs), *order).sortWithinPartitions(*order).select("doc_id", "text")
     walked = written(ranged.mapInArrow(_along, f"{_DDL}, piece int, place string, text string"), "walked")
     pieces = sorted(r.piece for r in walked.filter("place = 'first'").select("piece").collect())  # one a partition
     after = spark.createDataFrame(list(zip(pieces, pieces[1:] + pieces[:1])), "piece int, next_piece int")
@@ -160,5 +166,6 @@ def document_fingerprints(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The contract's columns and ``n_within``: other documents whose fingerprint is within ``radius`` bits."""
     made = written(with_next(docs), "fingerprints")
     codes = written(made.groupBy(*CODE).agg(F.count("*").alias("copies")), "codes")
-    near = codes.join(within(codes, radius), CODE, "left").select(*CODE, (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_within"))
-    return made.join(near, CODE).select(*[n for n, _ in _ROW[:-WORDS]], "n_within")
+    near = codes.join(within(codes, radius), CODE, "left").select(*CODE, "copies", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_within"))
+    total = codes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    return joined_evenly(made, written(near, "near"), CODE, "copies", total).select(*[n for n, _ in _ROW[:-WORDS]], "n_within")

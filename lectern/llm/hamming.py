@@ -3,14 +3,15 @@
 ``radius + 1`` blocks cover the bits, so two fingerprints within the radius agree on a block; one copy of each
 fingerprint goes to each block's table, permuted to bring the block to the front of the key. A group above ``limit``
 is dealt again by blocks of the bits that its key leaves free, level by level, until it is small: as the codes are
-distinct, ``f`` free bits leave at most ``2**f`` of them, so the end is reached without dropping anything.
+distinct, ``f`` free bits leave at most ``2**f`` of them, so the end is reached without dropping anything. Only blocks
+that hold such groups are dealt again, all of a level by one lookup in a small table of masks.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -49,9 +50,12 @@ def words_of(value: int, words: int) -> list[int]:
     return [signed(value >> 64 * (words - 1 - k) & (1 << 64) - 1) for k in range(words)]
 
 
-def _dealt(codes: DataFrame, names: list[str], made: list[Block], more: list[str], when: Column | None = None) -> DataFrame:
-    rows = [F.struct(F.lit(b.number).alias("block"), *[F.col(n).bitwiseAND(F.lit(m)).alias(f"key_{n}") for n, m in zip(names, words_of(b.mask, len(names)))]) for b in made]
-    return (codes if when is None else codes.filter(when)).select(*names, *more, F.explode(F.array(*rows)).alias("at")).select(*names, *more, "at.*")
+def _dealt(codes: DataFrame, names: list[str], made: dict[int, list[Block]], more: list[str]) -> DataFrame:
+    """A copy of each row for each of the blocks that ``made`` has for the row's ``block``."""
+    masks = [(parent, b.number, *words_of(b.mask, len(names))) for parent, some in made.items() for b in some]
+    table = codes.sparkSession.createDataFrame(masks, "block int, next int, " + ", ".join(f"m_{n} long" for n in names))
+    met = codes.select("block", *names, *more).join(F.broadcast(table), "block")
+    return met.select(F.col("next").alias("block"), *[F.col(n).bitwiseAND(F.col(f"m_{n}")).alias(f"key_{n}") for n in names], *names, *more)
 
 
 def groups(codes: DataFrame, names: list[str], radius: int, more: list[str] = [], limit: int = LIMIT) -> tuple[DataFrame, dict[int, Block]]:
@@ -68,22 +72,18 @@ def groups(codes: DataFrame, names: list[str], radius: int, more: list[str] = []
             known[b.number] = b
         return made
 
-    level = number(blocks(width, radius))
-    keys = ["block", *[f"key_{n}" for n in names]]
-    dealt, whole = _dealt(codes, names, level, more), []
+    keys, whole = ["block", *[f"key_{n}" for n in names]], []
+    dealt = _dealt(codes.withColumn("block", F.lit(-1)), names, {-1: number(blocks(width, radius))}, more)
     while True:
         counts = dealt.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+        # beside the counts a group has its rows alone, and what is too large is dealt again before it is gathered
         met = written(dealt.join(counts, keys), "met")
         whole.append(met.filter(F.col("n") <= limit))
         hot = met.filter(F.col("n") > limit)
-        if hot.isEmpty():
+        again = sorted(r.block for r in hot.select("block").distinct().collect())  # a few blocks
+        if not again:
             break
-        parents, level, dealt = level, [], None
-        for parent in parents:
-            made = number(blocks(width, radius, parent))
-            level += made
-            part = _dealt(hot, names, made, more, F.col("block") == parent.number)
-            dealt = part if dealt is None else dealt.unionByName(part)
+        dealt = _dealt(hot, names, {parent: number(blocks(width, radius, known[parent])) for parent in again}, more)
     out = whole[0]
     for x in whole[1:]:
         out = out.unionByName(x)

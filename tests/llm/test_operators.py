@@ -109,10 +109,9 @@ def test_simhash_query(docs, none, corpus):
 
 
 @pytest.mark.parametrize("n", [1, 2, 17, 300, 1500])
-def test_gray_index_and_group_splitting(spark, n):
+def test_gray_index_runs_and_group_splitting(spark, n):
     from lectern.llm import hamming
-    from lectern.llm.simhash_gray import GrayIndex, classes as found_classes, stars
-    from lectern.llm.components import components
+    from lectern.llm.simhash_gray import GrayIndex, classes as found_classes
 
     rng = np.random.default_rng(n)
     codes = rng.integers(0, 2**63, max(1, n // 60), dtype=np.uint64)[rng.integers(0, max(1, n // 60), n)]
@@ -124,10 +123,32 @@ def test_gray_index_and_group_splitting(spark, n):
     assert pairs == {(a, b) for a, b in zip(*map(np.ndarray.tolist, np.where(apart <= 2))) if a < b}
     if n in (17, 300):
         df = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "code long")
+        want = classes(codes.tolist(), 2)
+        for sizes in ({}, {"run": 8, "visits": 5}, {"run": 1, "runs": 7}):  # one run; many small ones, searched in parts; few large ones
+            got = {r.code: r.root for r in found_classes(df, **sizes).collect()}
+            sets = {}
+            for c in codes.tolist():
+                signed = c - (1 << 64) if c >> 63 else c
+                sets.setdefault(want[c], set()).add(got.get(signed, signed))
+            assert all(len(roots) == 1 for roots in sets.values()) and len({min(r) for r in sets.values()}) == len(sets)
         split, _ = hamming.groups(df, ["code"], 2, limit=8)  # deals most groups again
-        whole = {tuple(r) for r in found_classes(df).collect()}
-        assert {tuple(r) for r in components(stars(split, 2)).collect()} == whole
-        assert (split.selectExpr("max(size(members)) as m").first().m or 0) <= 8
+        met = set()
+        for r in split.collect():
+            assert 2 <= len(r.members) <= 8
+            found = [m.code % (1 << 64) for m in r.members]
+            met |= {(a, b) for a in found for b in found if a < b and (a ^ b).bit_count() <= 2}
+        assert met == {(int(codes[a]), int(codes[b])) for a, b in pairs} | {(int(codes[b]), int(codes[a])) for a, b in pairs if codes[b] < codes[a]}
+
+
+def test_rank_column_is_gray_order(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.llm.simhash_gray import gray_rank, rank_column
+
+    codes = np.random.default_rng(3).integers(0, 2**64, 200, dtype=np.uint64)
+    df = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "code long")
+    got = [r.code % (1 << 64) for r in df.orderBy(rank_column(F.col("code"))).collect()]
+    assert got == codes[np.argsort(gray_rank(codes))].tolist()
 
 
 def test_components_of_a_chain_and_a_star(spark):
@@ -155,6 +176,26 @@ def test_languages(spark, none):
     assert {r.lang_pred for r in languages_of(frame(spark, rows[:3]), None).collect()} == {"und"}
 
 
+def test_language_samples_and_letters(spark):
+    """Many languages, one with a single text that all its rows repeat, signs that are no letters, and bit-equal scores."""
+    from lectern.llm.langid import fit, has_letter, languages_of, sample
+
+    from .conftest import frame
+
+    rows = [(k, f"{chr(0x4E00 + k)}{chr(0x4E00 + 3 * k)} {k}" * 9, f"l{k:03}", None) for k in range(600)]
+    rows += [(1000 + k, "immer derselbe Text", "copies", None) for k in range(900)] + [(3000 + k, f"some words {k} here", "en", None) for k in range(300)]
+    got = sample(frame(spark, rows), texts=20)
+    assert got[2] == sorted({r[2] for r in rows}) and len(got[2]) == 602
+    assert np.bincount(got[1])[got[2].index("copies")] == 1 and np.bincount(got[1])[got[2].index("en")] == 20
+    again = sample(frame(spark, rows).repartition(7), texts=20)
+    assert np.array_equal(got[0], again[0]) and np.array_equal(got[1], again[1])
+    assert not any(has_letter(x.encode()) for x in ("½", "²", "Ⅷ", "①", "12 _ -", "")) and all(has_letter(x.encode()) for x in ("ª", "ß", "日", "ǅ"))
+    net = fit(frame(spark, rows[-320:]), 20)
+    some = [(k, "odd text " * (1 + k % 7), None, None) for k in range(60)]
+    alone, together = ({r.doc_id: (r.lang_pred, r.score) for r in languages_of(frame(spark, x).repartition(n), net).collect()} for x, n in ((some, 30), (some, 1)))
+    assert alone == together and len(set(alone.values())) <= 7
+
+
 def test_language_windows_cover_every_byte():
     from lectern.llm.langid import LENGTH, WIDE, windows
 
@@ -165,23 +206,81 @@ def test_language_windows_cover_every_byte():
         assert all(raw[k : k + WIDE] in seen for k in range(n - WIDE + 1)) and own[-1] == n - (len(rows) - 1) * (LENGTH - WIDE + 1)
 
 
+def voted(text):
+    """256 bits: each pair of neighbouring words votes on every bit with the bit length of its count."""
+    import xxhash
+
+    full = (1 << 64) - 1
+
+    def spread(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    h = [xxhash.xxh64_intdigest(w.encode(), 0x5EED) for w in WORDS.findall(text)]
+    times = 0xD6E8FEB86659FD93
+    terms = Counter([h[0] * times & full] if len(h) == 1 else [(a * times & full) + (((b << 7) & full) | b >> 57) & full for a, b in zip(h, h[1:])])
+    votes, weight = [0] * 256, sum(n.bit_length() for n in terms.values())
+    for term, n in terms.items():
+        for k in range(4):
+            word = spread(term ^ (0x9E3779B97F4A7C15 * (2 * k + 1) & full))
+            for bit in range(64):
+                votes[64 * k + bit] += n.bit_length() * (word >> 63 - bit & 1)
+    return sum(1 << 255 - k for k, v in enumerate(votes) if 2 * v > weight)
+
+
 def test_fingerprints(docs, none, corpus):
-    from lectern.llm.fingerprints import digits, document_fingerprints, edited_text, fingerprint, likeness
+    import xxhash
+
+    from lectern.llm.fingerprints import document_fingerprints
 
-    order = sorted(((i is not None, i or 0, (t or "").encode(), i) for i, t, *_ in corpus))
-    texts = [(x[3], x[2].decode()) for x in order]
-    codes = [fingerprint(t) for _, t in texts]
-    near = lambda a: sum(int(np.bitwise_count(a ^ b).sum()) <= 3 for b in codes) - 1
+    place = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) ^ 1 << 63, t)
+    texts = [(i, t) for _, _, _, i, t in sorted((i is not None, i or 0, place(t or ""), i, t or "") for i, t, *_ in corpus)]
+    codes = [voted(t) for _, t in texts]
+    like = lambda a, b: 1 - (a ^ b).bit_count() / 256
     want = []
     for k, (i, t) in enumerate(texts):
         after = texts[(k + 1) % len(texts)][1]
-        edited = edited_text(t, after)
-        want.append((i, len(t), sha(edited.encode()), digits(codes[k]), digits(fingerprint(edited)), likeness(codes[k], fingerprint(edited)), likeness(codes[k], codes[(k + 1) % len(codes)]), near(codes[k])))
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        within = sum((codes[k] ^ c).bit_count() <= 3 for c in codes) - 1
+        want.append((i, len(t), sha(edited.encode()), f"{codes[k]:064x}", f"{voted(edited):064x}", like(codes[k], voted(edited)), like(codes[k], codes[(k + 1) % len(codes)]), within))
     got = rows_of(document_fingerprints(docs), "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_within")
     assert got == sorted(want, key=repr)
     assert document_fingerprints(none).count() == 0 and document_fingerprints(docs.filter("doc_id = 133")).first().near_next == 1.0
 
 
+def test_half_of_all_rows_have_one_fingerprint(spark, monkeypatch):
+    """Hot keys take the way without a shuffle, and 3,000 near copies more than one level of groups."""
+    from lectern.llm import common, fingerprints, hamming, simhash_gray
+
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    rng = np.random.default_rng(9)
+    base = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(base)) for k in range(3000)]
+    for k in range(600):
+        words = list(base)
+        words[rng.integers(300)] = f"x{k}"
+        rows.append((10_000 + k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r for r in fingerprints.document_fingerprints(df).collect()}
+    codes = {i: int(r.fingerprint, 16) for i, r in found.items()}
+    every = Counter(codes.values())
+    assert len(found) == len(rows) and codes[0] == voted(rows[0][1])
+    for i in [0, *range(10_000, 10_600, 7)]:
+        assert found[i].n_within == sum(n for c, n in every.items() if (c ^ codes[i]).bit_count() <= 3) - 1
+    monkeypatch.setattr(hamming, "LIMIT", 20)
+    distinct = spark.createDataFrame([tuple(int(x) - (1 << 64) if int(x) >> 63 else int(x) for x in (c >> 192, c >> 128 & 2**64 - 1, c >> 64 & 2**64 - 1, c & 2**64 - 1)) + (n,) for c, n in every.items()], "c0 long, c1 long, c2 long, c3 long, copies long")
+    groups, known = hamming.groups(distinct, fingerprints.CODE, 3, ["copies"], limit=20)
+    assert len(known) > 4 and groups.selectExpr("max(size(members)) as m").first().m <= 20
+    near = {r.doc_id: r for r in simhash_gray.near_duplicates(df).collect()}
+    root = classes([int(r.fingerprint, 16) for r in near.values()], 2)
+    least = {}
+    for i, r in near.items():
+        least[root[int(r.fingerprint, 16)]] = min(i, least.get(root[int(r.fingerprint, 16)], i))
+    assert all(r.component_id == least[root[int(r.fingerprint, 16)]] for r in near.values())
+
+
 @pytest.mark.parametrize("unit", [2_000_000, 50])
 def test_substrings(docs, none, corpus, unit):
     from lectern.llm.substring import WINDOW, without_repeats

@@ -33,8 +33,9 @@ SHINGLE, RADIUS, SEED = 3, 2, 42
 LEAF, FANOUT, QUERIES, TOGETHER = 16, 8, 1024, 1 << 21
 #: Shingles whose bits are counted at a time.
 STRETCH = 1 << 16
-#: Codes of a run, until there are more than ``RUNS`` of them; then runs grow. Codes that one task searches a run for.
-RUN, RUNS, VISITS = 8192, 1 << 16, 1 << 16
+#: Runs, however few codes there are, so that a code enters as many at every size; the codes of a run at most, beyond
+#: which there are more runs; the most runs, beyond which they grow again; codes that one task searches a run for.
+RUNS, RUN, MOST, VISITS = 256, 1 << 20, 1 << 16, 1 << 16
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -244,16 +245,16 @@ def _searched(radius: int):
     return of
 
 
-def links(codes: DataFrame, radius: int = RADIUS, run: int = RUN, runs: int = RUNS, visits: int = VISITS) -> DataFrame:
+def links(codes: DataFrame, radius: int = RADIUS, runs: int = RUNS, run: int = RUN, most: int = MOST, visits: int = VISITS) -> DataFrame:
     """``a, b``: links that join exactly the distinct ``code`` values connected by steps within ``radius``."""
     spark = session(codes.sparkSession)
     codes = codes.select("code")
     total = codes.count()
-    size = max(run, -(-total // runs))
-    pieces = max(1, -(-total // (4 * size)))
+    size = max(LEAF, min(run, -(-total // runs)), -(-total // most))
+    pieces = max(1, -(-total // (16 * size)))
     ranged = codes.select("code", rank_column(F.col("code")).alias("rank")).repartitionByRange(pieces, "rank").sortWithinPartitions("rank").select("code")
     cut = written(ranged.mapInArrow(_runs(size), "part int, serial int, mask long, pattern long, codes array<long>"), "runs")
-    nodes = sorted(tuple(r) for r in cut.select("part", "serial", "mask", "pattern").collect())  # at most ``runs`` and one a partition
+    nodes = sorted(tuple(r) for r in cut.select("part", "serial", "mask", "pattern").collect())  # at most ``most`` and one a partition
     if not nodes:
         return spark.createDataFrame([], "a long, b long")
     number = {(p, s): k for k, (p, s, *_) in enumerate(nodes)}

@@ -124,7 +124,7 @@ def test_gray_index_runs_and_group_splitting(spark, n):
     if n in (17, 300):
         df = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "code long")
         want = classes(codes.tolist(), 2)
-        for sizes in ({}, {"run": 8, "visits": 5}, {"run": 1, "runs": 7}):  # one run; many small ones, searched in parts; few large ones
+        for sizes in ({}, {"run": 17, "visits": 5}, {"runs": 2}, {"most": 3, "run": 1}):  # many runs; searched in parts; few large ones
             got = {r.code: r.root for r in found_classes(df, **sizes).collect()}
             sets = {}
             for c in codes.tolist():

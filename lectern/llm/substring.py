@@ -8,9 +8,11 @@ that every document has is thus one hash from each unit. The texts are read agai
 
 Defined results: a null text has no words; texts with fewer words than a window lose nothing; repeated rows are
 copies of each other and lose every window; copies inside one document count, overlapping or not; null ids are kept;
-other columns are left out; an empty table gives an empty one. Hashes have 64 bits: among ``n`` windows the chance
-that any two different ones agree is about n*n / 2**65. The input must return its rows in one order each time it is
-read, as files and written tables do.
+other columns are left out; an empty table gives an empty one. Two windows count as equal if their 64-bit hashes agree
+and so do 8 bits and the bucket of a second polynomial over other word hashes (all 64 bits of it inside a unit): with
+``b`` buckets, among ``n`` windows the chance that any two different ones agree is about n*n / (2**73 * b), 0.01 for
+the 1.6e13 windows and 1.6 million buckets of 100 TB. The input must return its rows in one order each time it is read, as files and
+written tables do.
 """
 
 from __future__ import annotations
@@ -28,34 +30,55 @@ from pyspark.sql import functions as F
 from .common import WordHashes, decoded, mixed, parts, session, written
 
 WINDOW = 35
-#: Windows of a unit.
-UNIT = 2_000_000
-BASE = 0x9E3779B97F4A7C15 | 1
+#: Windows of a unit, and of one where there are so many buckets that it would send each next to nothing.
+UNIT, LARGE_UNIT, EACH = 2_000_000, 8_000_000, 16
+BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _known = WordHashes()
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: dict[int, list[np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]), 1 << 12)
-        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            p = np.full(size, base, np.uint64)
+def powers(n: int, base: int) -> list[np.ndarray]:
+    """The first ``n`` powers of an odd base and of its inverse modulo 2**64."""
+    kept = _powers.get(base)
+    if kept is None or len(kept[0]) < n:
+        size, kept = max(n, 2 * len(kept[0]) if kept else 0, 1 << 12), []
+        for factor in (base, pow(base, -1, 1 << 64)):
+            p = np.full(size, factor, np.uint64)
             p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+            kept.append(np.cumprod(p, dtype=np.uint64))
+        _powers[base] = kept
+    return [p[:n] for p in kept]
 
 
-def window_hashes(words: np.ndarray, window: int = WINDOW) -> np.ndarray:
+def window_hashes(words: np.ndarray, window: int = WINDOW, base: int = BASES[0]) -> np.ndarray:
     """Rabin-Karp hashes of all windows over word hashes, finally mixed so that any of their bits can choose a bucket."""
     n = len(words) - window + 1
     if n < 1:
         return np.empty(0, np.uint64)
-    up, down = powers(len(words) + 1)
+    up, down = powers(len(words) + 1, base)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * down[:-1], dtype=np.uint64)))
     return mixed((sums[window:] - sums[:n]) * up[:n])
 
 
+def two_hashes(words: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Of all windows, the hash and a second one over other hashes of the words."""
+    return window_hashes(words, window), window_hashes(mixed(words ^ np.uint64(BASES[1])), window, BASES[1])
+
+
+def runs_of_equal(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal pairs together, in the order of their places, and whether each equals the one before it."""
+    order = np.argsort(first, kind="stable")
+    a, b = first[order], second[order]
+    same = np.concatenate((np.zeros(min(1, len(a)), bool), a[1:] == a[:-1]))
+    apart = same.copy()
+    apart[1:] &= b[1:] != b[:-1]
+    if apart.any():  # different windows share the first hash, which hardly ever happens
+        order = np.lexsort((second, first))
+        a, b = first[order], second[order]
+        same[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    return order, same
+
+
 def pack_places(places: np.ndarray, kind: type) -> bytes:
     """Ascending places as steps of a small type; a full step carries over to the next."""
     full = int(np.iinfo(kind).max)
@@ -85,28 +108,26 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ROW)], schema=_ROW)
 
 
-def _unit(name: str, hashes: np.ndarray, layout: bytes, buckets: int) -> list[tuple]:
+def _unit(name: str, hashes: np.ndarray, checks: np.ndarray, layout: bytes, buckets: int) -> list[tuple]:
     """What a unit sends: its own repeats, each distinct hash with its first place, and its layout."""
     kind, rows = step_type(buckets), [(zlib.crc32(name.encode()) % buckets, name, LAYOUT, layout, b"")]
-    order = np.argsort(hashes, kind="stable")
-    ranked = hashes[order]
-    new = np.concatenate((np.ones(min(1, len(ranked)), bool), ranked[1:] != ranked[:-1]))
-    own = ~new
-    own[:-1] |= own[1:]  # the first of a run too
+    order, again = runs_of_equal(hashes, checks)
+    own = again.copy()
+    own[:-1] |= again[1:]  # the first of a run too
     if own.any():
         rows.append((zlib.crc32(name.encode()) % buckets, name, PLACES, pack_places(np.sort(order[own]), kind), b""))
-    place = np.sort(order[new])
-    code = hashes[place]
-    bucket = (code >> np.uint64(32)) % np.uint64(buckets)
+    place = np.sort(order[~again])
+    code, check = hashes[place], checks[place]
+    bucket = (check >> np.uint64(32)) % np.uint64(buckets)
     by = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
     for k in np.flatnonzero(np.diff(cuts)):
         at = by[cuts[k] : cuts[k + 1]]
-        rows.append((int(k), name, HASHES, code[at].tobytes(), pack_places(place[at], kind)))
+        rows.append((int(k), name, HASHES, code[at].tobytes() + check[at].astype(np.uint8).tobytes(), pack_places(place[at], kind)))
     return rows
 
 
-def _units(buckets: int, window: int, unit: int):
+def _units(buckets: int, window: int, unit: int, bits: int = 64):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, serial, held, total, layout = TaskContext.get().partitionId(), 0, [], 0, []
 
@@ -114,14 +135,15 @@ def _units(buckets: int, window: int, unit: int):
             sizes = np.array([x[2] for x in layout], np.int64)
             keys = np.array([x[:2] for x in layout], np.int64).reshape(-1, 2)
             packed = np.column_stack([keys, sizes]).tobytes()
-            return _rows(_unit(f"{part}-{serial}-{zlib.crc32(packed)}", np.concatenate(held), packed, buckets))
+            hashes, checks = (np.concatenate(x) for x in zip(*held))
+            return _rows(_unit(f"{part}-{serial}-{zlib.crc32(packed)}", hashes, checks, packed, buckets))
 
         for batch in batches:
             for doc_id, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), decoded(batch.column(2))):
-                hashes = window_hashes(_known.of(text.split()), window)
+                hashes, checks = two_hashes(_known.of(text.split()), window)
                 if not len(hashes):
                     continue
-                held.append(hashes)
+                held.append((hashes >> np.uint64(64 - bits), checks))
                 layout.append((doc_id, key, len(hashes)))
                 total += len(hashes)
                 if total >= unit:
@@ -138,16 +160,17 @@ def _meet(buckets: int):
     kind = step_type(buckets)
 
     def answers(rows: list[tuple[str, bytes, bytes]]) -> Iterator[tuple]:
-        hashes = np.concatenate([np.frombuffer(a, np.uint64) for _, a, _ in rows])
-        order = np.argsort(hashes)
-        ranked = hashes[order]
-        same = np.concatenate(([False], ranked[1:] == ranked[:-1], [False]))
+        sizes = [len(a) // 9 for _, a, _ in rows]
+        hashes = np.concatenate([np.frombuffer(a, np.uint64, n) for (_, a, _), n in zip(rows, sizes)])
+        checks = np.concatenate([np.frombuffer(a, np.uint8, n, 8 * n) for (_, a, _), n in zip(rows, sizes)])
+        order, again = runs_of_equal(hashes, checks)
         repeated = np.zeros(len(hashes), bool)
-        repeated[order] = same[1:] | same[:-1]
+        repeated[order] = again
+        repeated[order[:-1]] |= again[1:]
         at = 0
         for unit, a, b in rows:
-            flags = repeated[at : at + len(a) // 8]
-            at += len(a) // 8
+            flags = repeated[at : at + len(a) // 9]
+            at += len(a) // 9
             if flags.any():
                 yield -1, unit, PLACES, pack_places(unpack_places(b, kind)[flags], kind), b""
 
@@ -204,19 +227,23 @@ def keyed(docs: DataFrame) -> DataFrame:
     return columns.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").alias("key"), "text")
 
 
-def repeated_intervals(docs: DataFrame, window: int = WINDOW, unit: int = UNIT) -> DataFrame:
-    """``id, key, starts, stops`` of each document of ``keyed`` that has repeated windows: the word ranges to remove."""
+def repeated_intervals(docs: DataFrame, window: int = WINDOW, unit: int | None = None, bits: int = 64) -> DataFrame:
+    """``id, key, starts, stops`` of each document of ``keyed`` that has repeated windows: the word ranges to remove.
+
+    ``bits`` of the first hash are used; fewer force it to agree for different windows.
+    """
     session(docs.sparkSession)
     buckets = parts(docs, 32 << 20)
-    sent = docs.select("id", "key", "text").mapInArrow(_units(buckets, window, unit), _DDL)
+    unit = unit or min(LARGE_UNIT, max(UNIT, EACH * buckets))
+    sent = docs.select("id", "key", "text").mapInArrow(_units(buckets, window, unit, bits), _DDL)
     met = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_meet(buckets), _DDL)
     return met.groupBy("unit").applyInArrow(_intervals(buckets, window), "id long, key long, starts array<int>, stops array<int>")
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, unit: int = UNIT) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, unit: int | None = None, bits: int = 64) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` of every row, and ``kept_sha256``; ``kept`` joins words by one space."""
     rows = keyed(docs)
-    found = written(repeated_intervals(rows, window, unit), "intervals").dropDuplicates(["id", "key"])
+    found = written(repeated_intervals(rows, window, unit, bits), "intervals").dropDuplicates(["id", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

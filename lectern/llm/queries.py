@@ -77,7 +77,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 MIXING_SQL = r"""
 with s as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+    concat('17:', coalesce(doc_id::varchar, 'null'), ':', coalesce(md5(text), 'null'), ':', row_number() over (partition by doc_id, text)) as name
+  from documents
 ), g as (
   select source, sum(size)::bigint as source_size from s group by source
 ), w as (
@@ -91,11 +93,11 @@ with s as (
   select source, source_size, least((w.spare_weight) / shared, (3 * source_size)::double) as target
   from (select g.*, best.spare * g.weight as spare_weight, best.shared from w g, best) w
 ), r as (
-  select s.doc_id, s.size, t.source_size, t.target, case when t.source_size > 0 then least(t.target / t.source_size, 3.0::double) else 0 end as rate
+  select s.doc_id, s.name, s.size, t.source_size, t.target, case when t.source_size > 0 then least(t.target / t.source_size, 3.0::double) else 0 end as rate
   from s join t on s.source is not distinct from t.source
 )
 select doc_id, size, source_size, target,
-  size * (floor(rate)::bigint + (('0x' || substr(md5('17:' || coalesce(doc_id::varchar, 'null')), 1, 8))::bigint < floor((rate - floor(rate)) * 4294967296)::bigint)::bigint) as taken
+  size * (floor(rate)::bigint + (('0x' || substr(md5(name), 1, 8))::bigint < floor((rate - floor(rate)) * 4294967296)::bigint)::bigint) as taken
 from r
 """
 

@@ -1,6 +1,6 @@
 """Reproducible shuffle into shards by a Feistel permutation of global row numbers.
 
-Rows are numbered in the order of (doc_id, text checksum, size); a balanced Feistel network over the least even
+Rows are numbered in the order of (doc_id, text checksum, size), equal ones in any order; a balanced Feistel network over the least even
 number of bits that covers the count, walked until the value is below it, permutes the numbers. The permuted number
 ``p`` gives shard ``p mod shards`` and slot ``p div shards``, so counts differ by one at most, slots have no gaps and
 anyone can compute where row ``n`` went. Law: ``rows``.
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import mixed, parts, session, written
 
 SHARDS, SEED, ROUNDS, OVERHEAD = 40, 2024, 6, 16
+#: Ranges that rows are numbered in, at most: one row each is broadcast.
+RANGES = 1 << 16
 
 
 def permuted(numbers: np.ndarray, count: int, seed: int = SEED) -> np.ndarray:
@@ -44,7 +46,7 @@ def permuted(numbers: np.ndarray, count: int, seed: int = SEED) -> np.ndarray:
 def numbered(rows: DataFrame, by: list[str]) -> DataFrame:
     """``rows`` with ``number``, gapless from 0 in the order of ``by``; ranges are counted, and one sum a range is kept."""
     spark = session(rows.sparkSession)
-    ranged = rows.repartitionByRange(parts(rows), *by).sortWithinPartitions(*by)
+    ranged = rows.repartitionByRange(min(RANGES, parts(rows)), *by).sortWithinPartitions(*by)
     names = [*rows.columns, "piece", "within"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,9 +70,11 @@ def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFram
     """The contract's columns and ``number`` for every row. Texts are read once and don't move."""
     text = docs["text"].cast("string")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD
-    rows = written(docs.select(docs["doc_id"].cast("long").alias("doc_id"), size.alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32")), "sizes")
+    columns = docs.select(docs["doc_id"].cast("long").alias("doc_id"), size.alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"))
+    # a place in the input as the last key, so that rows alike in all others, however many, are cut into ranges too
+    rows = written(columns.withColumn("tie", F.monotonically_increasing_id()), "sizes")
     count = rows.count()
-    known = numbered(rows, ["doc_id", "text_crc32", "size"])
+    known = numbered(rows, ["doc_id", "text_crc32", "size", "tie"]).drop("tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -66,6 +66,9 @@ class ByteBPE:
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         back = {c: b for b, c in enumerate(chars)}
         self.token_bytes = {i: bytes(back[c] for c in s) for s, i in self.tokenizer.get_vocab().items()}
+        self.token_sizes = np.zeros(max(self.token_bytes, default=-1) + 1, np.int64)
+        for i, token in self.token_bytes.items():
+            self.token_sizes[i] = len(token)
         self.split = regex.compile(pattern or public_tokenizers.PATTERN).findall
         self.kept: dict[str, bytes] = {}
 
@@ -94,11 +97,18 @@ class ByteBPE:
         """First and last-plus-one code point that each token touches; tokens inside one character share it."""
         raw = np.frombuffer(text.encode(), np.uint8)
         char_of = np.cumsum((raw & 0xC0) != 0x80) - 1
-        sizes = np.array([len(self.token_bytes[i]) for i in ids], np.int64)
+        sizes = self.token_sizes[np.asarray(ids, np.int64)]
         ends = np.cumsum(sizes)
         starts = ends - sizes
         return char_of[starts], char_of[ends - 1] + 1
 
+    def split_tokens(self, text: str, packed: bytes) -> int:
+        """How many tokens begin inside a character of the text."""
+        if text.isascii():
+            return 0
+        starts, ends = self.offsets(text, np.frombuffer(packed, "<u4"))
+        return int((starts[1:] < ends[:-1]).sum())
+
     def decode_bytes(self, packed: bytes) -> bytes:
         """The bytes of packed ids. An id outside the vocabulary raises KeyError."""
         return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(packed, "<u4").tolist()))
@@ -152,29 +162,28 @@ def decode_documents(encoded: DataFrame, path: str | None = None, id_col: str =
 
 
 def round_trip(docs: DataFrame, path: str | None = None, ids: bool = False) -> DataFrame:
-    """Encode every text, decode its ids, and return the digests of both, and the ids themselves if asked for.
+    """Encode every text, place and decode its ids, and return the digests of ids and bytes, ``n_split``, the tokens that
+    begin inside a character by the offsets, and the ids themselves if asked for.
 
     One pass without a shuffle: a lost executor costs only the tasks that it ran. The ids of one batch of rows and a
-    bounded table of matches are all that a worker holds.
+    bounded table of matches are all that a worker holds. Texts that a batch repeats, as a mix of sources does, are
+    encoded once.
     """
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, sha = codec(path), hashlib.sha256
         for batch in batches:
-            packed = coder.packed(batch.column(1).to_pylist())
-            more = [pa.array([np.frombuffer(p, "<i4") for p in packed], pa.list_(pa.int32()))] if ids else []
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(p) // 4 for p in packed], pa.int64()),
-                    pa.array([sha(p).hexdigest() for p in packed], pa.string()),
-                    pa.array([sha(coder.decode_bytes(p)).hexdigest() for p in packed], pa.string()),
-                    *more,
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids],
-            )
+            texts = batch.column(1).to_pylist()
+            place = {t: k for k, t in enumerate(dict.fromkeys(texts))}
+            at = [place[t] for t in texts]
+            packed = coder.packed(list(place))
+            made = [(len(p) // 4, sha(p).hexdigest(), sha(coder.decode_bytes(p)).hexdigest(), coder.split_tokens(t or "", p)) for t, p in zip(place, packed)]
+            columns = list(zip(*[made[k] for k in at])) if at else [[]] * 4
+            more = [pa.array([np.frombuffer(packed[k], "<i4") for k in at], pa.list_(pa.int32()))] if ids else []
+            kinds = pa.int64(), pa.string(), pa.string(), pa.int64()
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds)], *more], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_split", *["ids"] * ids])
 
     session(docs.sparkSession)
     columns = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return columns.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
+    return columns.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long" + ", ids array<int>" * ids)

@@ -54,12 +54,19 @@ def test_bpe_offsets_and_split_characters(coder):
 def test_bpe_query(docs, none, corpus, reference):
     from lectern.llm.bpe import decode_documents, encode_documents, round_trip
 
-    got = rows_of(round_trip(docs), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    from .conftest import frame
+
+    rows = corpus + [(900 + k, t, "en", "a") for k, t in enumerate(["\U0001f642\u65e5\u672c \U00010348 x", "\U00010348" * 9, "na\u00efve"] * 2)]
+    got = rows_of(round_trip(frame(docs.sparkSession, rows)), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_split")
     want = []
-    for i, t, *_ in corpus:
+    for i, t, *_ in rows:
         ids = reference.encode_ordinary(t or "")
-        want.append((i, len(ids), sha(np.array(ids, "<u4").tobytes()), sha((t or "").encode())))
-    assert got == sorted(want, key=repr) and round_trip(none).count() == 0
+        inside, at, raw = 0, 0, (t or "").encode()
+        for token in map(reference.decode_single_token_bytes, ids):
+            inside += raw[at] & 0xC0 == 0x80
+            at += len(token)
+        want.append((i, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(raw), inside))
+    assert got == sorted(want, key=repr) and round_trip(none).count() == 0 and sum(w[4] for w in want) > 5
     back = decode_documents(encode_documents(docs, offsets=True))
     assert rows_of(back, "doc_id", "text") == sorted(((i, t or "") for i, t, *_ in corpus), key=repr)
 
@@ -281,9 +288,11 @@ def test_half_of_all_rows_have_one_fingerprint(spark, monkeypatch):
     assert all(r.component_id == least[root[int(r.fingerprint, 16)]] for r in near.values())
 
 
-@pytest.mark.parametrize("unit", [2_000_000, 50])
-def test_substrings(docs, none, corpus, unit):
-    from lectern.llm.substring import WINDOW, without_repeats
+@pytest.mark.parametrize("unit,bits", [(2_000_000, 64), (50, 64), (2_000_000, 22), (2000, 22)])
+def test_substrings(docs, none, corpus, unit, bits):
+    """With 22 bits of the first hash different windows agree in it, and the second tells them apart."""
+    from lectern.llm.common import WordHashes
+    from lectern.llm.substring import WINDOW, two_hashes, without_repeats
 
     split = [(t or "").encode().split() for _, t, *_ in corpus]
     count = Counter(tuple(w[k : k + WINDOW]) for w in split for k in range(len(w) - WINDOW + 1))
@@ -295,8 +304,11 @@ def test_substrings(docs, none, corpus, unit):
                 gone[k : k + WINDOW] = [True] * WINDOW
         kept = b" ".join(x for x, g in zip(w, gone) if not g)
         want.append((i, len(w), sum(gone), sha(kept), kept.decode()))
-    assert rows_of(without_repeats(docs, unit=unit), "doc_id", "n_words", "n_removed", "kept_sha256", "kept") == sorted(want, key=repr)
+    assert rows_of(without_repeats(docs, unit=unit, bits=bits), "doc_id", "n_words", "n_removed", "kept_sha256", "kept") == sorted(want, key=repr)
     assert without_repeats(none).count() == 0
+    if bits < 64:
+        hashes = {tuple(w[k : k + WINDOW]): int(h) >> 64 - bits for w in split for k, h in enumerate(two_hashes(WordHashes().of(w))[0])}
+        assert len(set(hashes.values())) < len(hashes) - 20
 
 
 @given(st.lists(st.integers(0, 100_000), unique=True, max_size=50), st.sampled_from([np.uint8, np.uint16, np.uint32]))
@@ -395,11 +407,43 @@ def test_sharding(docs, none, corpus):
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, sharded(docs.repartition(5), 4).collect()), key=repr) and sharded(none).count() == 0
 
 
+def test_equal_rows_are_cut_into_ranges(spark):
+    from lectern.llm.sharding import numbered
+
+    rows = spark.range(4000).selectExpr("cast(null as long) as doc_id", "16L as size", "0L as text_crc32", "id as tie")
+    found = numbered(rows, ["doc_id", "text_crc32", "size", "tie"])
+    assert sorted(r.number for r in found.collect()) == list(range(4000))
+    sizes = rows.repartitionByRange(4, "doc_id", "text_crc32", "size", "tie").selectExpr("spark_partition_id() as p").groupBy("p").count().collect()
+    assert len(sizes) == 4 and max(r["count"] for r in sizes) < 2000
+
+
+def feistel(number, count, seed, rounds):
+    """One number at a time, in plain integers."""
+    full = (1 << 64) - 1
+
+    def spread(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    half = max(1, (max(count - 1, 1).bit_length() + 1) // 2)
+    while True:
+        left, right = number >> half, number & (1 << half) - 1
+        for k in range(1, rounds + 1):
+            key = spread((k * 0x9E3779B97F4A7C15 & full) + seed & full)
+            left, right = right, left ^ spread(right ^ key) & (1 << half) - 1
+        number = left << half | right
+        if number < count:
+            return number
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 40, 1000, 65_537])
 def test_permutation(n):
-    from lectern.llm.sharding import permuted
+    from lectern.llm.sharding import ROUNDS, SEED, permuted
 
-    assert sorted(permuted(np.arange(n), n).tolist()) == list(range(n))
+    found = permuted(np.arange(n), n).tolist()
+    assert sorted(found) == list(range(n))
+    assert all(found[k] == feistel(k, n, SEED, ROUNDS) for k in range(0, n, max(1, n // 500)))
 
 
 def filled(sizes, weights):
@@ -424,15 +468,42 @@ def test_mixing(docs, none, corpus):
     target = dict(zip(names, filled(sizes, [(5, 2, 1)[k % 3] for k in range(len(names))])))
     got = mixed_sizes(docs).collect()
     assert sorted(((r.doc_id, r.source, r.size, r.source_size) for r in got), key=repr) == sorted(((i, s, size(t), sizes[names.index(s)]) for i, t, _, s in corpus), key=repr)
+    seen, want = Counter(), []
+    for i, t, _, s in corpus:  # rows alike in id and text have draws by occurrence
+        seen[i, t] += 1
+        name = ":".join(["17", "null" if i is None else str(i), "null" if t is None else hashlib.md5(t.encode()).hexdigest(), str(seen[i, t])])
+        draw = int(hashlib.md5(name.encode()).hexdigest()[:8], 16)
+        all_of = sizes[names.index(s)]
+        rate = min(3.0, target[s] / all_of) if all_of else 0.0
+        want.append((i, s, size(t), int(rate) + (draw < int((rate - int(rate)) * 2**32))))
+    assert sorted(((r.doc_id, r.source, r.size, r.copies) for r in got), key=repr) == sorted(want, key=repr)
     for r in got:
         assert r.target == pytest.approx(target[r.source]) and r.taken == r.size * r.copies and r.copies - r.target / max(1, r.source_size) <= 1 and r.copies <= 3
-        draw = int(hashlib.md5(f"17:{'null' if r.doc_id is None else r.doc_id}".encode()).hexdigest()[:8], 16)
-        rate = min(3.0, r.target / r.source_size) if r.source_size else 0.0
-        assert r.copies == int(rate) + (draw < int((rate - int(rate)) * 2**32))
     mixed = mixed_documents(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got) and mixed_sizes(none).count() == 0 and mixed_documents(none).count() == 0
 
 
+def test_mixing_a_source_of_null_ids_and_many_sources(spark, monkeypatch):
+    """Rows without an id have draws of their own, equal ones too, so their source comes near its target; sources may be as many as rows."""
+    from lectern.llm import common, mixing
+
+    rows = [(None, f"some words of text {k}", "a") for k in range(400)] + [(None, "one text again and again", "a")] * 900 + [(k, "x " * (1 + k % 9), "b") for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    plain = sorted(map(tuple, mixing.mixed_sizes(df).collect()), key=repr)
+    for name in "ab":
+        taken, target = sum(r[6] for r in plain if r[1] == name), next(r[4] for r in plain if r[1] == name)
+        assert abs(taken - target) < 0.06 * target
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 1)
+    assert sorted(map(tuple, mixing.mixed_sizes(df.repartition(3)).collect()), key=repr) == plain
+    many = [(k, "w " * (k % 7), f"s{k % 350}" if k < 1500 else "big") for k in range(2500)]
+    got = mixing.mixed_sizes(spark.createDataFrame(many, "doc_id long, text string, source string")).collect()
+    names = sorted({s for *_, s in many})
+    sizes = {n: sum(k % 7 for k, _, s in many if s == n) for n in names}
+    target = dict(zip(names, filled([sizes[n] for n in names], [(5, 2, 1)[k % 3] for k in range(len(names))])))
+    assert len(got) == 2500 and all(r.target == pytest.approx(target[r.source]) and r.source_size == sizes[r.source] for r in got)
+
+
 def test_pipeline(spark, tmp_path):
     import random
 

@@ -36,8 +36,8 @@ WIDTH, ONES, CONTEXTS = 64, 4, 8192
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 #: Weight decay of the network.
 DECAY = 5e-3
-#: Words whose vectors a worker keeps.
-KEPT = 60_000
+#: Words whose vectors a worker keeps: about 100 MB.
+KEPT = 250_000
 
 
 def index_vectors(n: int = CONTEXTS, width: int = WIDTH, ones: int = ONES, seed: int = 11) -> np.ndarray:
@@ -64,9 +64,12 @@ PIECE, TOGETHER, GROUP = 256, 4096, 1 << 18
 def word_vectors(words: list[bytes], index: np.ndarray) -> np.ndarray:
     """Unit vectors of words: the index vectors of their letter trigrams and, twice, of the changes of byte class.
 
-    Long words are read in pieces that share two bytes, and the pieces' sums added up.
+    Long words are read in pieces that share two bytes, and the pieces' sums added up. Of an index vector only the
+    entries that aren't zero are added.
     """
     sums = np.zeros((len(words), WIDTH), np.float32)
+    places = index.nonzero()[1].reshape(len(index), -1)
+    signs = np.take_along_axis(index, places, 1)
     # all pieces of a word but the last leave its last change to the next one
     cut = ((k, w[at : at + PIECE], at + PIECE >= len(w)) for k, w in ((k, b"\x01" + w + b"\x02") for k, w in enumerate(words)) for at in range(0, max(1, len(w) - 2), PIECE - 2))
     while some := list(islice(cut, TOGETHER)):
@@ -74,18 +77,19 @@ def word_vectors(words: list[bytes], index: np.ndarray) -> np.ndarray:
         raw = np.frombuffer(b"".join(p for _, p, _ in some), np.uint8).astype(np.uint32)
         owner = np.repeat(np.arange(len(some)), [len(p) for _, p, _ in some])
         gram = np.flatnonzero(owner[2:] == owner[:-2])
-        code = (raw[gram] | raw[gram + 1] << np.uint32(8) | raw[gram + 2] << np.uint32(16)) * np.uint32(0x9E3779B1) >> np.uint32(15)
-        starts = np.concatenate(([0], np.flatnonzero(np.diff(owner[gram])) + 1))
-        np.add.at(sums, word[owner[gram[starts]]], np.add.reduceat(index[code % CONTEXTS], starts, axis=0))
+        grams = (raw[gram] | raw[gram + 1] << np.uint32(8) | raw[gram + 2] << np.uint32(16)) * np.uint32(0x9E3779B1) >> np.uint32(15)
         kind = CLASS[raw]
         turn = (owner[1:] == owner[:-1]) & (kind[1:] != kind[:-1])
         turn[:-1] &= last[owner[:-2]] | (owner[2:] == owner[:-2])
         turn[-1] &= last[-1]
         turn = np.flatnonzero(turn)
-        if len(turn):
-            code = (kind[turn] << np.uint32(8) | kind[turn + 1]) * np.uint32(0x85EBCA6B) >> np.uint32(13)
-            starts = np.concatenate(([0], np.flatnonzero(np.diff(owner[turn])) + 1))
-            np.add.at(sums, word[owner[turn[starts]]], 2 * np.add.reduceat(index[code % CONTEXTS], starts, axis=0))
+        turns = (kind[turn] << np.uint32(8) | kind[turn + 1]) * np.uint32(0x85EBCA6B) >> np.uint32(13)
+        code = np.concatenate((grams, turns)) % CONTEXTS
+        of = word[owner[np.concatenate((gram, turn))]] - word[0]
+        weight = signs[code]
+        weight[len(grams) :] *= 2
+        found = np.bincount((of[:, None] * WIDTH + places[code]).ravel(), weight.ravel(), (word[-1] - word[0] + 1) * WIDTH)
+        sums[word[0] : word[-1] + 1] += found.reshape(-1, WIDTH).astype(np.float32)
     return sums / np.maximum(1e-6, np.sqrt((sums**2).sum(axis=1, keepdims=True)))
 
 

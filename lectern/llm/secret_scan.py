@@ -42,7 +42,9 @@ ORDINARY = (
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 #: Shortest token that is judged at all, and what one below ``LEAST_RANDOM`` must have.
 LEAST_SHORT = 12
-TOKEN = f"[A-Za-z0-9+/_=-]{{{LEAST_SHORT},}}"
+_SIGN = "[A-Za-z0-9+/_=-]"
+#: A whole run of a token's signs, long or with a digit; looked at once, where it starts.
+TOKEN = f"(?<!{_SIGN})(?={_SIGN}{{{LEAST_RANDOM}}}|{_SIGN}*[0-9]){_SIGN}{{{LEAST_SHORT},}}"
 SHORT = r"^(?=.*[0-9])(?:[^A-Za-z]*[A-Za-z]){4}"
 PLAIN = r"^([A-Z]?[a-z]+|[0-9]+)$"
 #: Log-likelihood ratio above which a token counts as random: the prior odds against it.
@@ -112,10 +114,18 @@ def is_random(token: Column, table: list[float], threshold: float = THRESHOLD) -
     return F.when(F.char_length(token) < LEAST_RANDOM, token.rlike(SHORT) & some).when(token.rlike(PLAIN), ratio(token, table) > threshold).otherwise(some)
 
 
-def placed(text: str, pattern: str, keep) -> Column:
-    """The spans of the leftmost non-overlapping matches of ``pattern`` for which ``keep(match)`` holds."""
+def matches(text: str, pattern: str, keep) -> Column:
+    """The text before each of the leftmost non-overlapping matches, and the match, by their lengths, with ``keep(match)``.
+
+    One entry more than there are matches: the last has the text behind them and neither size nor keep.
+    """
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    steps = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(F.char_length(g).alias("gap"), F.char_length(m).alias("size"), keep(m).alias("keep")))
+    steps = F.zip_with(found, gaps, lambda m, g: F.struct(F.char_length(g).alias("gap"), F.char_length(m).alias("size"), (m.isNotNull() & keep(m)).alias("keep")))
+    return F.when(F.col(text).rlike(pattern), steps)
+
+
+def placed(steps: str) -> Column:
+    """The spans of the ``matches`` that are kept."""
 
     def inner(acc: Column, s: Column) -> Column:
         begin = acc["at"] + s["gap"]
@@ -130,8 +140,7 @@ def placed(text: str, pattern: str, keep) -> Column:
 
     cut = F.transform(F.sequence(F.lit(0), ((F.size(steps) - 1) / CHUNK).cast("int")), lambda k: F.slice(steps, k * CHUNK + 1, F.lit(CHUNK)))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("out"))
-    spans = F.flatten(F.aggregate(cut, zero, outer, lambda acc: acc["out"]))
-    return F.when(F.col(text).rlike(pattern), spans).otherwise(none)
+    return F.when(F.col(steps).isNotNull(), F.flatten(F.aggregate(cut, zero, outer, lambda acc: acc["out"]))).otherwise(none)
 
 
 def _marked(spans: str, kind: str) -> Column:
@@ -149,16 +158,16 @@ def scanned(docs: DataFrame, table: list[float] | None = None, threshold: float
     lists of start, rank of kind and stop, in order. One pass, no shuffle. ``docs`` has ``text``, never null."""
     table = train(default_samples(docs.sparkSession)) if table is None else table
     group = lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 2))
-    found = docs.select(
+    # columns of their own, read several times below, so that each pattern is matched once
+    met = docs.select(
         "*",
-        F.struct(
-            placed("text", ASSIGN, lambda m: group(m) >= LEAST_GROUP).alias("assign"),
-            placed("text", ACCESS, lambda m: F.char_length(m) >= LEAST_ACCESS).alias("access"),
-            # a whole run is one match, so runs that are too short can be passed over at once
-            placed("text", HEX[:-1] + f"{{{LEAST_HEX},}}", lambda m: F.lit(True)).alias("hex"),
-            placed("text", TOKEN, lambda m: is_random(m, table, threshold)).alias("token"),
-        ).alias("scan"),
+        matches("text", ASSIGN, lambda m: group(m) >= LEAST_GROUP).alias("assign"),
+        matches("text", ACCESS, lambda m: F.char_length(m) >= LEAST_ACCESS).alias("access"),
+        # a whole run is one match, so runs that are too short can be passed over at once
+        matches("text", f"(?<!{HEX[:-1]}){HEX[:-1]}{{{LEAST_HEX},}}", lambda m: F.lit(True)).alias("hex"),
+        matches("text", TOKEN, lambda m: is_random(m, table, threshold)).alias("token"),
     )
+    found = met.select(*docs.columns, F.struct(*[placed(k).alias(k) for k in ("assign", "access", "hex", "token")]).alias("scan"))
     base = F.array_sort(F.concat(*[_marked(f"scan.{k}", k) for k in KINDS[:3]]))
     apart = F.filter("scan.token", lambda t: ~F.exists("base", lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"])))
     sorted_ = found.withColumn("base", base).withColumn("random", apart)

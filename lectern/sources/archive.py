@@ -59,22 +59,22 @@ class Archive:
         try:
             self.zip = zipfile.ZipFile(io.BytesIO(content))
         except (zipfile.BadZipFile, ValueError, NotImplementedError) as error:
-            raise Rejected(f"failed to read EPUB archive: {error}") from None
+            raise Rejected(f"this is no archive: {error}") from None
         infos, total, seen = self.zip.infolist(), 0, set()
         for info in infos:
             name = info.filename
             if name.startswith(("/", "\\")) or "\\" in name or "\0" in name or re.match(r"[A-Za-z]:", name) or ".." in name.split("/"):
-                raise Rejected(f"EPUB archive contains an unsafe path: {name!r}")
+                raise Rejected(f"an entry's path leaves the archive: {name!r}")
             if info.flag_bits & 1:
-                raise Rejected(f"EPUB archive entry is encrypted: {name}")
+                raise Rejected(f"{name} is encrypted")
             if info.file_size > ENTRY_BYTES:
-                raise Rejected(f"EPUB archive entry {name} exceeds {ENTRY_BYTES} bytes")
+                raise Rejected(f"{name} is larger than {ENTRY_BYTES} bytes")
             if name.rstrip("/") in seen:
-                raise Rejected(f"EPUB archive contains a duplicate path: {name}")
+                raise Rejected(f"two entries have the path {name}")
             seen.add(name.rstrip("/"))
             total += info.file_size
             if total > TOTAL_BYTES:
-                raise Rejected(f"EPUB archive expands beyond {TOTAL_BYTES} bytes")
+                raise Rejected(f"the entries are larger than {TOTAL_BYTES} bytes in all")
         self.names = {i.filename for i in infos if not i.is_dir()}
 
     @staticmethod
@@ -82,12 +82,12 @@ class Archive:
         """The end record's count of entries, before the directory is read."""
         at = content.rfind(b"PK\x05\x06")
         if at < 0 or len(content) < at + 22:
-            raise Rejected("failed to read EPUB archive: no end of central directory")
+            raise Rejected("this is no archive: it has no directory")
         here, total = struct.unpack_from("<HH", content, at + 8)
         if here != total:
-            raise Rejected("EPUB archive spans several disks")
+            raise Rejected("the archive has several volumes")
         if total > ENTRIES:
-            raise Rejected(f"EPUB archive contains more than {ENTRIES} entries")
+            raise Rejected(f"the archive has over {ENTRIES} entries")
 
     def read(self, name: str) -> bytes:
         """An entry's bytes. What it declares isn't trusted: reading stops above the bound."""
@@ -97,9 +97,9 @@ class Archive:
             with self.zip.open(name) as file:
                 data = file.read(ENTRY_BYTES + 1)
         except (zipfile.BadZipFile, OSError, EOFError, ValueError, NotImplementedError) as error:
-            raise Rejected(f"failed to read EPUB archive entry {name}: {error}") from None
+            raise Rejected(f"{name} can't be unpacked: {error}") from None
         if len(data) > ENTRY_BYTES:
-            raise Rejected(f"EPUB archive entry {name} exceeds {ENTRY_BYTES} bytes")
+            raise Rejected(f"{name} is larger than {ENTRY_BYTES} bytes")
         if _MARKUP.search(name) or data.lstrip()[:1] == b"<" or data[:2] in (b"\xff\xfe", b"\xfe\xff"):
             self._depth(name, data)
         return data
@@ -115,19 +115,19 @@ class Archive:
             if m[2] and m[2].lower() not in ("br", "img", "hr", "meta", "link", "input"):
                 depth += -1 if m[1] else not m[3]
                 if depth > MARKUP_DEPTH:
-                    raise Rejected(f"EPUB markup {name} nesting exceeds {MARKUP_DEPTH} levels")
+                    raise Rejected(f"{name} nests deeper than {MARKUP_DEPTH} levels")
 
     def xml(self, name: str) -> ET.Element:
         try:
             data = self.read(name)
         except KeyError:
-            raise Rejected(f"EPUB archive has no {name}") from None
+            raise Rejected(f"the archive lacks {name}") from None
         if b"<!ENTITY" in data:
-            raise Rejected(f"EPUB file {name} declares entities")
+            raise Rejected(f"{name} declares entities")
         try:
             return ET.fromstring(decoded(data))
         except (ET.ParseError, UnicodeDecodeError, ValueError) as error:
-            raise Rejected(f"failed to parse EPUB file {name}: {error}") from None
+            raise Rejected(f"{name} is no sound XML: {error}") from None
 
 
 def check_encryption(archive: Archive, fonts: set[str]) -> None:
@@ -140,4 +140,4 @@ def check_encryption(archive: Archive, fonts: set[str]) -> None:
         target = next((e.get("URI") for e in item.iter() if local(e.tag) == "CipherReference"), None)
         path = archive_path("", target or "")
         if method not in FONT_ALGORITHMS or path is None or path not in fonts or path not in archive.names:
-            raise Rejected("EPUB is encrypted or protected by DRM; only font obfuscation is supported")
+            raise Rejected("resources other than fonts are locked by DRM")

@@ -8,7 +8,9 @@ that is still open there. Resources are named by their path from the archive's r
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import count
 from urllib.parse import unquote_to_bytes
 
 from . import html
@@ -17,7 +19,7 @@ from .model import Book, Rejected, Section, Span, at_epub, heading_kind, inline,
 
 DEPTH, ENTRIES = 128, 10_000
 MEDIA = {"application/xhtml+xml", "text/html", "image/svg+xml"}
-NO_CONTENTS = "EPUB has no authored table of contents; derived navigation from spine headings"
+NO_CONTENTS = "the book has no contents; sections come from headings"
 
 
 @dataclass
@@ -49,20 +51,16 @@ class Document:
     aliases: dict[str, int]
 
 
-class Missing(Exception):
-    """Why a target can't be used."""
-
-
 def read_package(archive: Archive) -> tuple[str, object, dict[str, Item]]:
     container = archive.xml("META-INF/container.xml")
     roots = [e.get("full-path") for e in container.iter() if local(e.tag) == "rootfile" and e.get("full-path")]
     if not roots:
-        raise Rejected("EPUB container names no package document")
+        raise Rejected("the container names no package")
     if len(set(roots)) != len(roots):
-        raise Rejected("EPUB container names a package document twice")
+        raise Rejected("the container names one package twice")
     path = archive_path("", roots[0])
     if path is None:
-        raise Rejected("EPUB package path is unsafe")
+        raise Rejected("the path of the package leaves the archive")
     package, base = archive.xml(path), path.rpartition("/")[0]
     items: dict[str, Item] = {}
     urls: set[str] = set()
@@ -71,11 +69,11 @@ def read_package(archive: Archive) -> tuple[str, object, dict[str, Item]]:
             href = e.get("href") or ""
             where = None if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", href) else archive_path(base, href)
             if where is not None and where in urls:
-                raise Rejected(f"EPUB manifest lists {where} twice")
+                raise Rejected(f"the manifest has {where} twice")
             urls.add(where or href)
             items[e.get("id")] = Item(e.get("id"), where, e.get("media-type") or "", set((e.get("properties") or "").split()), e.get("fallback"))
             if len(items) > RESOURCES:
-                raise Rejected(f"EPUB manifest lists more than {RESOURCES} resources")
+                raise Rejected(f"the manifest has over {RESOURCES} resources")
     return base, package, items
 
 
@@ -118,11 +116,10 @@ def read_document(archive: Archive, item: Item, warnings: list[str]) -> Document
     try:
         source = decoded(archive.read(item.path))
     except (KeyError, UnicodeDecodeError, TypeError) as error:
-        raise Rejected(f"failed to read EPUB spine resource {resource}: {error}") from None
-    nodes, own = html.parse_xhtml(source, f"EPUB resource {resource}")
+        raise Rejected(f"{resource} of the spine can't be read: {error}") from None
+    nodes, own = html.parse_xhtml(source, f"document {resource}")
     warnings += own
-    walker = html.Walker(html.title_of(nodes) or item.id, resource)
-    walker.walk(nodes)
+    root = html.document(nodes, html.title_of(nodes) or item.id, resource)
     every = list(html.elements(nodes))
     pages = []
     for e in every:
@@ -132,9 +129,9 @@ def read_document(archive: Archive, item: Item, warnings: list[str]) -> Document
             if label and (fragment is not None or e.offset is not None):
                 pages.append((label, at_epub(resource, fragment, e.offset)))
             else:
-                warnings.append(f"EPUB pagebreak in {resource} has no usable source position or label; skipped")
+                warnings.append(f"a page break in {resource} has no label or no place; left out")
     anchors = {e.attrs["id"]: e.offset for e in every if e.attrs.get("id")}
-    return Document(resource, walker.outline.root, pages, anchors, heading_aliases(nodes))
+    return Document(resource, root, pages, anchors, heading_aliases(nodes))
 
 
 def heading_aliases(nodes: list) -> dict[str, int]:
@@ -185,7 +182,7 @@ def nav_entries(ol: html.Element, depth: int = 1) -> list[Entry]:
 
 
 def read_nav(source: str, resource: str, warnings: list[str]) -> tuple[list[Entry], list[Entry]]:
-    nodes, own = html.parse_xhtml(source, f"EPUB navigation {resource}")
+    nodes, own = html.parse_xhtml(source, f"contents {resource}")
     warnings += own
     contents, pages = [], []
     for e in html.elements(nodes):
@@ -209,184 +206,220 @@ def read_ncx(root) -> tuple[list[Entry], list[Entry]]:
     return part("navMap", "navPoint"), part("pageList", "pageTarget")
 
 
-def size(entries: list[Entry]) -> tuple[int, int]:
-    """Entries with all below them, and the deepest level."""
-    count = deepest = 0
-    stack = [(e, 1) for e in entries]
-    while stack:
-        e, depth = stack.pop()
-        count, deepest = count + 1, max(deepest, depth)
-        stack += [(c, depth + 1) for c in e.children]
-    return count, deepest
+@dataclass
+class Row:
+    """A line of a tree laid flat: what it holds, the row above it (-1: none) and its depth, from 1."""
+
+    item: Entry | Section
+    above: int
+    depth: int
+
+
+def flat(tops: list) -> list[Row]:
+    """The rows of trees of anything with ``children``, each before those below it."""
+    rows, todo = [], [(x, -1, 1) for x in reversed(tops)]
+    while todo:
+        item, above, depth = todo.pop()
+        rows.append(Row(item, above, depth))
+        todo += [(c, len(rows) - 1, depth + 1) for c in reversed(item.children)]
+    return rows
 
 
-class Merger:
-    """Documents of the spine below the entries of the contents."""
+class Spine:
+    """The documents in reading order, and where the references of the contents and the page list lead."""
 
-    def __init__(self, title: str, documents: list[Document]):
-        self.root, self.documents, self.warnings = Section("book", "Book", title, 0, "Derived"), documents, []
+    def __init__(self, documents: list[Document]):
         self.order = {d.resource: n for n, d in enumerate(documents)}
         self.anchors = {d.resource: d.anchors for d in documents}
-        self.used: set[str] = set()
-        self.number = 0
 
-    def target(self, href: str | None, resource: str) -> Span | None:
-        """Where an entry points. Raises ``Missing`` if that isn't in the spine."""
+    def target(self, href: str | None, resource: str) -> tuple[Span | None, str | None]:
+        """The place that a reference names, and what is wrong with it."""
         if href is None:
-            return None
+            return None, None
         path, _, fragment = href.partition("#")
         path = path.split("?")[0]
         if path:
-            found = archive_path("" if path[0] == "/" else resource.lstrip("/").rpartition("/")[0], path.lstrip("/"))
-            if found is None:
-                raise Missing("references a missing resource")
-            resource = "/" + found
-        if resource not in self.order:
-            raise Missing("references a resource outside the spine")
+            path = archive_path("" if path[0] == "/" else resource.lstrip("/").rpartition("/")[0], path.lstrip("/"))
+            resource = f"/{path}"
         try:
             fragment = unquote_to_bytes(fragment).decode("utf-8")
         except UnicodeDecodeError:
             pass
-        if fragment and fragment not in self.anchors[resource]:
-            raise Missing(f'references missing fragment "{fragment}"')
+        problems = {
+            "leads out of the archive": path is None, "leads out of the spine": resource not in self.order,
+            f'leads to "{fragment}", which its document lacks': bool(fragment) and fragment not in self.anchors.get(resource, {}),
+        }
+        for problem, holds in problems.items():
+            if holds:
+                return None, problem
         where = at_epub(resource, fragment or None, self.anchors[resource].get(fragment) if fragment else None)
-        return Span(resource, where, where)
-
-    def unique(self, wanted: str | None) -> str:
-        if wanted and wanted.strip() and wanted not in self.used:
-            self.used.add(wanted)
-            return wanted
-        while True:
-            self.number += 1
-            name = f"epub-toc-{self.number}"
-            if name not in self.used:
-                self.used.add(name)
-                return name
-
-    def contents(self, entries: list[Entry], resource: str, level: int = 1) -> list[Section]:
-        """Sections of the entries; those below an entry that can't be used move up into its place."""
-        out = []
-        for e in entries:
-            label = e.label.strip()
-            try:
-                if not label:
-                    raise Missing("")
-                span = self.target(e.href, resource)
-            except Missing as issue:
-                self.warnings.append(f'EPUB navigation entry "{label}" {issue}; skipped' if label else "EPUB navigation entry has an empty label; skipped")
-                out += self.contents(e.children, resource, level)
-                continue
-            made = Section(self.unique(e.id), semantic_kind(e.kind) or heading_kind(label), label, level, "Authored", span)
-            made.children = self.contents(e.children, resource, level + 1)
-            out.append(made)
-        return out
-
-    def below(self) -> list[Section]:
-        return [s for s, _ in self.root.walk()][1:]
-
-    def merge(self, document: Document) -> None:
-        first = next((s for s in self.below() if s.span and s.span.start["resource"] == document.resource), None)
-        whole_file = first is not None and first.span.start["fragment"] is None
-        if whole_file:
-            first.blocks += document.root.blocks
-        else:
-            self.loose(document)
-        todo = [(c, first, whole_file and n == 0) for n, c in enumerate(document.root.children)][::-1]
-        while todo:
-            content, parent, may_take_file = todo.pop()
-            match = self.matching(content, document.aliases) or (parent if may_take_file else None)
-            children, content.children = content.children, []
-            if match is None:
-                if parent is not None:
-                    content.level = parent.level + 1
-                (parent.children if parent is not None else self.root.children).append(content)
-                match = content
-            else:
-                if match.kind in ("Section", "Other") and content.kind not in ("Book", "BodyMatter", "Section", "Other"):
-                    match.kind = content.kind
-                match.blocks += content.blocks
-            todo += [(c, match, False) for c in reversed(children)]
-
-    def matching(self, content: Section, aliases: dict[str, int]) -> Section | None:
-        """The entry that points at a section: at its fragment or place, or at an element whose first heading it is."""
-        if content.span is None:
-            return None
-        here = content.span.start
-        for s in self.below():
-            there = s.span and s.span.start
-            if there and there["resource"] == here["resource"]:
-                both = there["fragment"] is not None and here["fragment"] is not None
-                if there["fragment"] == here["fragment"] if both else there == here:
-                    return s
-        if here["character_offset"] is None:
-            return None
-        pointed = lambda s: s.span and s.span.start["resource"] == here["resource"] and s.span.start["fragment"] is not None and aliases.get(s.span.start["fragment"]) == here["character_offset"]
-        return next((s for s in self.below() if pointed(s)), None)
-
-    def loose(self, document: Document) -> None:
-        if document.root.blocks:
-            where = at_epub(document.resource)
-            self.root.children.append(Section(f"epub:{document.resource}:body", "BodyMatter", None, 1, "Derived", Span(document.resource, where, where), document.root.blocks))
-
-    def append_all(self) -> None:
-        for d in self.documents:
-            self.loose(d)
-            self.root.children += d.root.children
+        return Span(resource, where, where), None
 
     def place(self, span: Span | None) -> tuple[int, int] | None:
+        """The order of a position: its document's, then its own offset or that of its fragment."""
         if span is None or span.start["resource"] not in self.order:
             return None
         p = span.start
-        offset = p["character_offset"]
-        if offset is None and p["fragment"] is not None:
-            offset = self.anchors[p["resource"]].get(p["fragment"])
-        return self.order[p["resource"]], offset or 0
-
-    def reorder(self) -> None:
-        """Reading order: a section goes where it points, else where its text or what is below it begins."""
-        rows = [(s, above) for s, above in self.root.walk()][1:]
-        first: dict[int, tuple[int, int] | None] = {}
-        for s, _ in reversed(rows):  # those below a section come before it
-            own = self.place(s.span)
-            inside = [p for p in (self.place(b.span) for b in s.blocks) if p is not None]
-            under = [p for p in (first[id(c)] for c in s.children) if p is not None]
-            first[id(s)] = own if own is not None else min(inside, default=None) if inside else min(under, default=None)
-        late = (len(self.order) + 1, 0)
-        rows = [row for _, row in sorted(enumerate(rows), key=lambda x: (first[id(x[1][0])] or late, x[0]))]
-        for s, _ in rows:
-            s.children = []
-        self.root.children, open_ = [], []
-        for s, above in rows:
-            while open_ and open_[-1].id not in above:
-                open_.pop()
-            (open_[-1].children if open_ else self.root.children).append(s)
-            s.level = len(open_) + 1
-            open_.append(s)
-
-    def marks(self, entries: list[Entry], resource: str) -> list[tuple[str, dict, str]]:
-        """Pages of a page list in its order; above the bound the whole list is left out."""
-        flat, stack = [], list(reversed(entries))
-        while stack:
-            e = stack.pop()
-            flat.append(e)
-            stack += reversed(e.children)
-        if len(flat) > ENTRIES:
-            self.warnings.append(f"EPUB page list has more than {ENTRIES} entries; ignored")
-            return []
-        out = []
-        for e in flat:
-            label = e.label.strip()
-            if not label:
-                self.warnings.append("EPUB page list contains an empty label; skipped")
+        own = p["character_offset"] if p["character_offset"] is not None else self.anchors[p["resource"]].get(p["fragment"])
+        return self.order[p["resource"]], own or 0
+
+
+def unused(wanted: Iterator[str | None]) -> Iterator[str]:
+    """Each id as wanted, if it is not blank and new, else a counted one."""
+    used, counted = set(), (f"epub-toc-{n}" for n in count(1))
+    for name in wanted:
+        if not name or not name.strip() or name in used:
+            name = next(x for x in counted if x not in used)
+        used.add(name)
+        yield name
+
+
+def contents_rows(entries: list[Entry], resource: str, spine: Spine, warnings: list[str]) -> list[Row]:
+    """Rows of sections for the entries that lead somewhere; what stood below others stands in their place."""
+    entry_rows = flat(entries)
+    kept: dict[int, int] = {-1: -1}  # of each entry, its section's row, or that of the nearest entry above that has one
+    rows: list[Row] = []
+    for n, row in enumerate(entry_rows):
+        label = row.item.label.strip()
+        span, problem = spine.target(row.item.href, resource) if label else (None, "has no label")
+        above = kept[row.above]
+        if problem:
+            warnings.append(f'entry "{label}" of the contents {problem}; left out' if label else "an entry of the contents has no label; left out")
+            kept[n] = above
+            continue
+        kept[n] = len(rows)
+        depth = rows[above].depth + 1 if above >= 0 else 1
+        rows.append(Row(Section(row.item.id, semantic_kind(row.item.kind) or heading_kind(label), label, depth, "Authored", span), above, depth))
+    for row, name in zip(rows, unused(r.item.id for r in rows)):
+        row.item.id = name
+    return rows
+
+
+class Merged:
+    """Rows of the contents and of the documents' sections, with an index over the places that they name.
+
+    A section of a document joins the row that its fragment, else its offset, else the first heading inside an element
+    with a row's fragment names; the keys of one lookup, in that order. A key belongs to the first row that has it.
+    """
+
+    def __init__(self, rows: list[Row]):
+        self.rows, self.index = [], {}
+        for row in rows:
+            self.add(row.item, row.above, row.depth)
+
+    def add(self, section: Section, above: int, depth: int) -> int:
+        n, p = len(self.rows), section.span and section.span.start
+        self.rows.append(Row(section, above, depth))
+        if p:
+            exact = ("fragment", p["resource"], p["fragment"]) if p["fragment"] is not None else ("offset", p["resource"], p["character_offset"])
+            for key in (exact, ("document", p["resource"])):
+                self.index.setdefault(key, n)
+        return n
+
+    def look_up(self, section: Section, aliases: dict[tuple[str, int], int]) -> int | None:
+        if section.span is None:
+            return None
+        p = section.span.start
+        exact = ("fragment", p["resource"], p["fragment"]) if p["fragment"] is not None else ("offset", p["resource"], p["character_offset"])
+        return self.index.get(exact, aliases.get((p["resource"], p["character_offset"])))
+
+    def named_inside(self, document: Document) -> dict[tuple[str, int], int]:
+        """Of the offsets of headings, the first row whose fragment is an element around it."""
+        found: dict[tuple[str, int], int] = {}
+        for fragment, offset in document.aliases.items():
+            n = self.index.get(("fragment", document.resource, fragment))
+            key = (document.resource, offset)
+            if n is not None and n < found.get(key, n + 1):
+                found[key] = n
+        return found
+
+    def merge(self, document: Document) -> None:
+        first = self.index.get(("document", document.resource))
+        names_file = first is not None and self.rows[first].item.span.start["fragment"] is None
+        if names_file:
+            self.rows[first].item.blocks += document.root.blocks
+        else:
+            for body in loose(document):
+                self.add(body, -1, 1)
+        mine, inside = {}, self.named_inside(document)
+        for n, row in enumerate(flat(document.root.children)):
+            above = mine[row.above] if row.above >= 0 else first
+            section, section.children = row.item, []
+            met = self.look_up(section, inside)
+            if met is None and n == 0 and names_file:
+                met = first
+            if met is None:
+                section.level = self.rows[above].item.level + 1 if above is not None else section.level
+                mine[n] = self.add(section, -1 if above is None else above, 0)
+                fragment = section.span.start["fragment"] if section.span else None
+                if fragment in document.aliases:
+                    inside.setdefault((document.resource, document.aliases[fragment]), mine[n])
                 continue
-            try:
-                span = self.target(e.href, resource)
-                if span is None:
-                    raise Missing("has no source location")
-                out.append((label, span.start, span.source_id))
-            except Missing as issue:
-                self.warnings.append(f'EPUB page "{label}" {issue}; skipped')
-        return out
+            mine[n], own = met, self.rows[met].item
+            own.blocks += section.blocks
+            if own.kind in ("Section", "Other") and section.kind not in ("Book", "BodyMatter", "Section", "Other"):
+                own.kind = section.kind
+
+    def in_reading_order(self, spine: Spine) -> list[Section]:
+        """The tree again, sorted by where sections point, else where their text or what is below them begins.
+
+        Rows have intervals of the order that they stood in, so what is below a row is what begins inside its interval.
+        Sorted, a row stays open until the first that isn't below it; a row goes below its nearest open one of those
+        that it stood below.
+        """
+        below: dict[int, list[int]] = {}
+        for n, row in enumerate(self.rows):
+            below.setdefault(row.above, []).append(n)
+        order, todo = [], below.get(-1, [])[::-1]
+        while todo:
+            order.append(todo.pop())
+            todo += below.get(order[-1], [])[::-1]
+        begin = {n: k for k, n in enumerate(order)}
+        end = {n: k + 1 for n, k in begin.items()}
+        places: dict[int, tuple[int, int] | None] = {}
+        for n in reversed(order):
+            row = self.rows[n]
+            end[row.above] = max(end.get(row.above, 0), end[n])
+            inside = [p for p in map(spine.place, (b.span for b in row.item.blocks)) if p]
+            under = [p for p in (places[c] for c in below.get(n, [])) if p]
+            places[n] = spine.place(row.item.span) or min(inside or under, default=None)
+        last = (len(spine.order) + 1, 0)
+        sorted_ = sorted(order, key=lambda n: (places[n] or last, begin[n]))
+        at = {n: k for k, n in enumerate(sorted_)}
+        is_below = lambda n, a: begin[a] < begin[n] < end[a]
+        closed = {a: next((k for k in range(at[a] + 1, len(sorted_)) if not is_below(sorted_[k], a)), len(sorted_)) for a in below if a >= 0}
+        tops, depth = [], {-1: 0}
+        for n in sorted_:
+            a = self.rows[n].above
+            while a >= 0 and not at[a] < at[n] < closed[a]:
+                a = self.rows[a].above
+            depth[n] = depth[a] + 1
+            self.rows[n].item.level = depth[n]
+            (self.rows[a].item.children if a >= 0 else tops).append(self.rows[n].item)
+        return tops
+
+
+def loose(document: Document) -> list[Section]:
+    """The blocks of a document that stand in none of its sections, as a section."""
+    where = at_epub(document.resource)
+    return [Section(f"epub:{document.resource}:body", "BodyMatter", None, 1, "Derived", Span(document.resource, where, where), document.root.blocks)] if document.root.blocks else []
+
+
+def marks(entries: list[Entry], resource: str, spine: Spine, warnings: list[str]) -> list[tuple[str, dict, str]]:
+    """Pages of a page list in its order; above the bound the whole list is left out."""
+    rows, out = flat(entries), []
+    if len(rows) > ENTRIES:
+        warnings.append(f"the page list has over {ENTRIES} entries; left out")
+        return []
+    for row in rows:
+        label = row.item.label.strip()
+        span, problem = spine.target(row.item.href, resource)
+        problem = "a page has no label" if not label else f'page "{label}" {problem or "leads nowhere"}' if span is None else None
+        if problem:
+            warnings.append(f"{problem}; left out")
+        else:
+            out.append((label, span.start, span.source_id))
+    return out
 
 
 def navigation(archive: Archive, package, items: dict[str, Item], warnings: list[str]) -> tuple[list[Entry], list[Entry], str]:
@@ -400,7 +433,7 @@ def navigation(archive: Archive, package, items: dict[str, Item], warnings: list
         try:
             contents, pages = read_nav(decoded(archive.read(item.path)), "/" + item.path, warnings) if is_nav else read_ncx(archive.xml(item.path))
         except (Rejected, KeyError, UnicodeDecodeError) as error:
-            warnings.append(f"EPUB navigation could not be parsed ({error}); derived navigation from spine headings")
+            warnings.append(f"the contents can't be read ({error})")
             continue
         if contents or pages:
             return contents, pages, "/" + item.path
@@ -419,27 +452,25 @@ def import_epub(path: str, content: bytes) -> Book:
             continue
         primary = items.get(e.get("idref"))
         if primary is None:
-            raise Rejected(f'EPUB spine references missing manifest item "{e.get("idref")}"')
+            raise Rejected(f'the spine names "{e.get("idref")}", which the manifest lacks')
         used = with_fallback(primary, items)
         if used is None:
-            raise Rejected(f"EPUB spine resource /{primary.path} ({primary.media}) has no supported XHTML, HTML, or SVG fallback")
+            raise Rejected(f"/{primary.path} of the spine is {primary.media}, which can't be read, and so is what stands in for it")
         if used is not primary:
-            warnings.append(f"EPUB spine resource /{primary.path} ({primary.media}) used fallback /{used.path} ({used.media})")
+            warnings.append(f"/{used.path} ({used.media}) was read for /{primary.path} ({primary.media})")
         documents.append(read_document(archive, used, warnings))
     contents, page_list, resource = navigation(archive, package, items, warnings)
-    merger = Merger(title, documents)
-    count, deepest = size(contents)
-    if deepest > DEPTH or count > ENTRIES:
-        merger.warnings.append(f"EPUB table of contents has more than {f'{DEPTH} levels' if deepest > DEPTH else f'{ENTRIES} entries'}; derived navigation from spine headings")
-    elif not contents:
-        merger.warnings.append(NO_CONTENTS)
-    if contents and deepest <= DEPTH and count <= ENTRIES:
-        merger.root.children = merger.contents(contents, resource)
+    spine, entries = Spine(documents), flat(contents)
+    too_large = max((r.depth for r in entries), default=0) > DEPTH or len(entries) > ENTRIES
+    root = Section("book", "Book", title, 0, "Derived")
+    if contents and not too_large:
+        merged = Merged(contents_rows(contents, resource, spine, warnings))
         for d in documents:
-            merger.merge(d)
-        merger.reorder()
+            merged.merge(d)
+        root.children = merged.in_reading_order(spine)
     else:
-        merger.append_all()
-    pages = merger.marks(page_list, resource) or [(label, where, d.resource) for d in documents for label, where in d.pages]
+        warnings.append(f"the contents pass {DEPTH} levels or {ENTRIES} entries; sections come from headings" if too_large else NO_CONTENTS)
+        root.children = [s for d in documents for s in (*loose(d), *d.root.children)]
+    pages = marks(page_list, resource, spine, warnings) or [(label, where, d.resource) for d in documents for label, where in d.pages]
     version = (package.get("version") or "").strip() or None
-    return Book(path, "EPUB", merger.root, title, authors, language, version, pages, [*warnings, *merger.warnings])
+    return Book(path, "EPUB", root, title, authors, language, version, pages, warnings)

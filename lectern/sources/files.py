@@ -11,7 +11,7 @@ from .epub import import_epub
 from .html import import_html
 from .kindle import import_kindle
 from .markdown import import_markdown
-from .model import import_with, unnested
+from .model import Book, import_with, unnested
 from .schema import Library
 from .text import import_text
 
@@ -24,38 +24,50 @@ FORMATS = {
 IMPORTERS = {"html": import_html, "markdown": import_markdown, "epub": import_epub, "kindle": import_kindle}
 
 
+#: Files that an importer's batch holds: they may be as large as their format's limit.
+BATCH_FILES = 8
+LARGEST = max(most for _, most in FORMATS.values())
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """``book_id, path, content, length`` of files; ``length`` filters reach the source before anything is read."""
+    """``book_id, path, content, length`` of files. Contents are read only where they are asked for."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.sha2("path", 256).alias("book_id"), "path", "content", "length")
 
 
 def routed(files: DataFrame) -> DataFrame:
-    """``files`` with ``kind`` and a ``reason`` to reject: unknown types and files above their limit."""
+    """``files`` with ``kind`` and a ``reason`` to reject: unknown types and files above their limit. Reads no content."""
     extension = ascii_lower(F.regexp_extract("path", r"\.([^./]*)\z", 1))
-    kind = limit = None
-    for name, (endings, most) in FORMATS.items():
-        hit = extension.isin(*endings)
-        kind = F.when(hit, name) if kind is None else kind.when(hit, name)
-        limit = F.when(hit, most) if limit is None else limit.when(hit, most)
-    marked = files.withColumn("kind", kind).withColumn("limit", limit)
-    reason = F.when(F.col("kind").isNull(), F.concat(F.lit("unsupported input type: "), extension)).when(F.col("length") > F.col("limit"), F.format_string("input exceeds its %d-byte limit", "limit"))
-    return marked.withColumn("reason", reason)
+    limits = F.create_map(*[F.lit(x) for endings, most in FORMATS.values() for e in endings for x in (e, most)])
+    kinds = F.create_map(*[F.lit(x) for name, (endings, _) in FORMATS.items() for e in endings for x in (e, name)])
+    marked = files.withColumn("kind", F.element_at(kinds, extension)).withColumn("limit", F.element_at(limits, extension))
+    unknown, large = F.concat(F.lit("files of type "), extension, F.lit(" are not read")), F.format_string("the file is larger than %d bytes", "limit")
+    return marked.withColumn("reason", F.when(F.col("kind").isNull(), unknown).when(F.col("length") > F.col("limit"), large))
+
+
+def import_any(path: str, content: bytes) -> Book:
+    """The book of a file, by the importer of its extension."""
+    extension = path.rsplit(".", 1)[-1].lower()
+    return next(IMPORTERS[kind] for kind, (endings, _) in FORMATS.items() if extension in endings)(path, content)
 
 
 def import_files(files: DataFrame) -> Library:
-    """The library of ``files(book_id, path, content, length)``. Python importers run once; their rows are written."""
-    known = routed(files)
-    good = known.filter("reason is null")
-    texts = import_text(good.filter("kind = 'text'").select("book_id", "path", F.try_validate_utf8(F.col("content")).alias("text")))
-    libraries = [texts]
-    for kind, importer in IMPORTERS.items():
-        libraries.append(unnested(written(import_with(good.filter(F.col("kind") == kind), importer), kind)))
-    tables = {}
-    for name in ("books", "sections", "blocks", "pages", "rejects"):
-        every = None
-        for library in libraries:
-            part = getattr(library, name)
-            every = part if every is None else every.unionByName(part)
-        tables[name] = every
-    tables["rejects"] = tables["rejects"].unionByName(known.filter("reason is not null").select("book_id", "path", "reason"))
-    return Library(**tables)
+    """The library of ``files(book_id, path, content, length)``.
+
+    Rejects come from names and lengths alone. The bound on the length is a plain comparison, which the source applies
+    before it opens a file, so files that no batch could hold are never read. One pass hands all formats that need
+    Python to their importers, a few files a batch; its rows are written.
+    """
+    spark = files.sparkSession
+    rejected = routed(files.select("book_id", "path", "length")).filter("reason is not null").select("book_id", "path", "reason")
+    good = routed(files.filter(F.col("length") <= LARGEST)).filter("reason is null")
+    texts = import_text(good.filter("kind = 'text'").select("book_id", "path", F.try_validate_utf8(F.col("content")).alias("text")), keep=written)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_FILES))
+    try:
+        made = written(import_with(good.filter("kind <> 'text'"), import_any), "imported")
+    finally:
+        spark.conf.set(name, before)
+    parsed = unnested(made)
+    tables = {name: getattr(texts, name).unionByName(getattr(parsed, name)) for name in ("books", "sections", "blocks", "pages", "rejects")}
+    return Library(**tables | {"rejects": tables["rejects"].unionByName(rejected)})

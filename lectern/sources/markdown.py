@@ -291,7 +291,7 @@ def import_markdown(path: str, content: bytes) -> Book:
     try:
         source = content.decode("utf-8")
     except UnicodeDecodeError:
-        raise Rejected("failed to read UTF-8 Markdown") from None
+        raise Rejected("the text is not UTF-8") from None
     references: dict[str, str] = {}
     outline, name = Outline(stem(path)), source_id(path)
     for node in blocks(source_lines(source), references):

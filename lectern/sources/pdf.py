@@ -16,10 +16,10 @@ from ..operators.lookup import clamped_levels, outline_of_pages, page_labels, pa
 from .schema import POSITION, Library
 
 PAGES, PAGE_BYTES, TOTAL_BYTES = 10_000, 16 << 20, 128 << 20
-NO_TEXT = "PDF contains no extractable text; OCR is not supported"
-NO_LABELS = "Page labels unavailable; using physical PDF page numbers"
-NO_HEADINGS = "PDF has no outline and no high-confidence chapter headings; treating the document as one body section"
-NOT_TAGGED = "Tagged PDF logical structure is not used; applied deterministic text inference"
+NO_TEXT = "no page has text; pictures of text are not read"
+NO_LABELS = "the pages have no labels; they are numbered as they come"
+NO_HEADINGS = "neither an outline nor headings were found; the text is one body"
+NOT_TAGGED = "structure comes from the text alone, tags are not read"
 
 
 def at_page(page: Column, offset: Column) -> Column:
@@ -39,8 +39,8 @@ def bounded(books: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     sums = made.groupBy("book_id").agg(F.count("*").alias("n"), F.max("raw").alias("largest"), F.sum(F.octet_length("text")).alias("total"), F.max(trim("text") != "").alias("some"))
     known = books.select("book_id", "path").join(sums, "book_id", "left")
     reason = (
-        F.when(F.col("n").isNull() | ~F.col("some"), NO_TEXT).when(F.col("n") > PAGES, f"PDF has more than {PAGES} pages").when(F.col("largest") > PAGE_BYTES, "PDF page text exceeds its limit")
-        .when(F.col("total") > TOTAL_BYTES, f"PDF extracted text exceeds {TOTAL_BYTES >> 20} MiB limit")
+        F.when(F.col("n").isNull() | ~F.col("some"), NO_TEXT).when(F.col("n") > PAGES, f"there are over {PAGES} pages").when(F.col("largest") > PAGE_BYTES, f"a page has over {PAGE_BYTES >> 20} MiB of text")
+        .when(F.col("total") > TOTAL_BYTES, f"the pages have over {TOTAL_BYTES >> 20} MiB of text")
     )
     judged = known.withColumn("reason", reason)
     return made.drop("raw").join(judged.filter("reason is null").select("book_id"), "book_id", "left_semi"), judged.filter("reason is not null").select("book_id", "path", "reason")
@@ -124,7 +124,7 @@ def import_pages(books: DataFrame, pages: DataFrame, outline: DataFrame, label_r
     marked = marks.select("book_id", F.col("page_index").cast("int").alias("page_ord"), "label", at_page(F.col("page_index") + 1, F.lit(0)).alias("position"), "source_id")
     about = known.join(items.select("book_id").distinct().withColumn("outlined", F.lit(True)), "book_id", "left").join(found, "book_id", "left").join(label_ranges.select("book_id").distinct().withColumn("labelled", F.lit(True)), "book_id", "left")
     said = F.array_compact(F.array(
-        F.when(F.col("labelled").isNull(), NO_LABELS), F.when(F.col("outlined").isNull(), F.coalesce(F.concat(F.lit("PDF has no outline; inferred "), F.col("headings").cast("string"), F.lit(" chapter headings")), F.lit(NO_HEADINGS))), F.when(F.col("outlined").isNull(), NOT_TAGGED),
+        F.when(F.col("labelled").isNull(), NO_LABELS), F.when(F.col("outlined").isNull(), F.coalesce(F.concat(F.lit("there is no outline; headings found in the text: "), F.col("headings").cast("string"), F.lit("")), F.lit(NO_HEADINGS))), F.when(F.col("outlined").isNull(), NOT_TAGGED),
     ))
     listed = about.select("book_id", "path", F.lit("PDF").alias("format"), none.cast("string").alias("format_version"), "title", F.coalesce("authors", F.array().cast("array<string>")).alias("authors"), none.cast("string").alias("language"), said.alias("warnings"))
     return Library(listed, root.unionByName(authored).unionByName(guessed), blocks, marked, rejects)

@@ -15,7 +15,7 @@ from ..functions.structure import source_id, stem, text_heading
 from ..functions.text import inline
 from .schema import BLOCKS, BOOKS, PAGES, POSITION, REJECTS, SECTIONS, Library
 
-UNSTRUCTURED = "TXT has no detected semantic sections; treating the document as one section"
+UNSTRUCTURED = "no headings were found; the text is one body"
 _END = r"\r\n|\r|\n"
 
 
@@ -48,7 +48,7 @@ def import_text(df: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lam
 
     All tables come from the outlined lines; ``keep`` may write those, so that they are made once.
     """
-    rejects = df.filter("text is null").select("book_id", "path", F.lit("failed to read UTF-8 text").alias("reason"))
+    rejects = df.filter("text is null").select("book_id", "path", F.lit("the text is not UTF-8").alias("reason"))
     good = df.filter("text is not null").select("book_id", "path", "text")
     rows = keep(outlined(good).withColumn("source_id", source_id("path")).drop("line", "path"), "lines")
     name = lambda n: F.concat(F.lit("section-"), n.cast("string"))

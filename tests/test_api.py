@@ -24,7 +24,7 @@ def library(spark, tmp_path_factory):
 
 def test_formats_and_rejects(library):
     assert sorted((r.format, r.title) for r in library.books.collect()) == [("EPUB", "My Book"), ("HTML", "h"), ("MOBI", "My Book"), ("Markdown", "m"), ("TXT", "t")]
-    assert {r.path.rsplit("/", 1)[1]: r.reason for r in library.rejects.collect()} == {"bad.txt": "failed to read UTF-8 text", "x.doc": "unsupported input type: doc", "broken.epub": "failed to read EPUB archive: no end of central directory"}
+    assert {r.path.rsplit("/", 1)[1]: r.reason for r in library.rejects.collect()} == {"bad.txt": "the text is not UTF-8", "x.doc": "files of type doc are not read", "broken.epub": "this is no archive: it has no directory"}
     lines = [r.line for r in api.inspect(library).orderBy("book_id", "preorder").collect()]
     assert "book|Book|t|blocks:0" in lines and "  section-1|Chapter|Chapter One|blocks:1" in lines
 

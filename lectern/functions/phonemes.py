@@ -39,6 +39,10 @@ def repairs(c: str | Column) -> Column:
     return F.aggregate(F.regexp_extract_all(clean, F.lit(f"[{CONSONANTS}]({SYLLABIC}+)"), F.lit(1)), F.lit(0), lambda n, p: n + F.char_length(p))
 
 
+#: The inside of a class of the vocabulary's characters.
+_KNOWN = "".join(f"\\x{{{ord(x):x}}}" for x in VOCABULARY)
+
+
 def _aliased(c: str | Column) -> Column:
     return F.translate(repaired(c), *ALIASES)
 
@@ -49,15 +53,13 @@ def characters(c: Column) -> Column:
 
 def unsupported(c: str | Column) -> Column:
     """Characters outside the vocabulary, in the order in which they first come."""
-    known = F.array(*map(F.lit, VOCABULARY))
-    return F.array_distinct(F.filter(characters(_aliased(c)), lambda x: ~F.array_contains(known, x)))
+    return F.array_distinct(F.regexp_extract_all(_aliased(c), F.lit(f"(?s)[^{_KNOWN}]"), F.lit(0)))
 
 
 def supports(c: str | Column) -> Column:
     """Whether the text's own characters are in the vocabulary, as they are, without a repair."""
-    known = F.array(*map(F.lit, VOCABULARY))
     plain = F.translate(F.regexp_replace(col(c), DROPPED, ""), *ALIASES)
-    return F.forall(characters(plain), lambda x: F.array_contains(known, x))
+    return ~plain.rlike(f"(?s)[^{_KNOWN}]")
 
 
 def normalized(c: str | Column) -> Column:
@@ -68,8 +70,8 @@ def normalized(c: str | Column) -> Column:
 def problem(c: str | Column) -> Column:
     """Why ``normalized`` is null; null if it isn't."""
     odd = unsupported(c)
-    return F.when(F.size(odd) > 0, F.concat(F.lit("unsupported phoneme characters '"), F.array_join(odd, ""), F.lit("'; use --pronunciation WORD=IPA"))).when(
-        _aliased(c) == "", "phonemizer returned no speech sounds"
+    return F.when(F.size(odd) > 0, F.concat(F.lit("no sound for '"), F.array_join(odd, ""), F.lit("'"))).when(
+        _aliased(c) == "", "nothing to say"
     )
 
 

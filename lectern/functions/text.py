@@ -189,14 +189,14 @@ def _empty() -> Column:
 def chunks(c: str | Column, limit: int) -> Column:
     """Words packed into as few pieces of at most ``limit`` characters as a greedy reading gives; longer words are cut."""
     if limit < 1:
-        raise ValueError("chunk size must be greater than zero")
+        raise ValueError("a piece needs room for a character")
     return F.aggregate(tokens(c), _empty(), _pack_step(limit), lambda acc: _flush(acc["out"], acc["cur"]))
 
 
 def packed_sentences(c: str | Column, limit: int) -> Column:
     """Sentences packed whole into pieces of at most ``limit`` characters; a longer one is packed by words, alone."""
     if limit < 1:
-        raise ValueError("phoneme limit must be greater than zero")
+        raise ValueError("a piece needs room for a phoneme")
     kept = F.filter(F.transform(col(c), trim), lambda s: s != "")
 
     def step(acc: Column, s: Column) -> Column:

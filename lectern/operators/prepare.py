@@ -18,7 +18,7 @@ from ..functions.text import ascii_fold, chunks, packed_sentences, sentences, sp
 from .issues import by_kind, kept_first, unresolved
 
 CHARACTERS, PHONEMES = 400, 200
-UNPRONOUNCED = "could not pronounce part of the text; add a pronunciation WORD=IPA"
+UNPRONOUNCED = "a word has no pronunciation; one can be given as WORD=IPA"
 _EDGE = r"^[^\p{IsAlphabetic}\p{IsDigit}']+|[^\p{IsAlphabetic}\p{IsDigit}']+\z"
 
 
@@ -83,9 +83,9 @@ def prepare(units: DataFrame, lexicon: DataFrame | None = None, pronunciations:
     checked = told.join(joined, key, "left").withColumn("unknown", F.when(F.col("failed"), F.col("unknown")))
     problem = F.when(F.coalesce("failed", F.lit(False)), F.lit(UNPRONOUNCED)).otherwise(P.problem(F.coalesce("raw", F.lit(""))))
     checked = checked.withColumn("detail", problem).withColumn("phonemes", F.when(F.col("detail").isNull(), P.normalized("raw"))).withColumn("repairs", F.when(F.col("detail").isNull(), P.repairs("raw")).otherwise(0))
-    kind = F.when(F.col("unknown").isNotNull(), "unknown_g2p_token").when(F.col("detail").startswith("unsupported phoneme"), "unsupported_phoneme").otherwise("unknown_g2p_token")
+    kind = F.when(F.col("unknown").isNotNull(), "unknown_g2p_token").when(F.col("detail").startswith("no sound for"), "unsupported_phoneme").otherwise("unknown_g2p_token")
     per_sentence = checked.filter("detail is not null").select("book_id", "unit_ord", "sentence_index", kind.alias("kind"), F.col("unknown").alias("token"), "unit_id", F.col("sentence").alias("text"), "detail")
-    per_unit = empty.select("book_id", "unit_ord", F.lit(0).alias("sentence_index"), F.lit("empty_narration_unit").alias("kind"), F.lit(None).cast("string").alias("token"), "unit_id", F.coalesce("text", F.lit("")).alias("text"), F.lit("narration unit is empty after text normalization").alias("detail"))
+    per_unit = empty.select("book_id", "unit_ord", F.lit(0).alias("sentence_index"), F.lit("empty_narration_unit").alias("kind"), F.lit(None).cast("string").alias("token"), "unit_id", F.coalesce("text", F.lit("")).alias("text"), F.lit("the unit has nothing to say").alias("detail"))
     signature = F.concat_ws(":", "kind", F.when(F.col("kind") == "empty_narration_unit", F.col("unit_id")).otherwise(F.coalesce("token", "detail")))
     order = Window.partitionBy("book_id").orderBy("unit_ord", "sentence_index")
     issues = per_sentence.unionByName(per_unit).select("book_id", (F.row_number().over(order) - 1).alias("issue_ord"), signature.alias("signature"), "kind", "token", "unit_id", "sentence_index", "text", F.lit(1).cast("long").alias("occurrences"), "detail")

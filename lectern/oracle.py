@@ -94,6 +94,13 @@ STEPS: list[tuple[str, str]] = [
     ("timed", f"select *, coalesce(sum(samples + {PAUSE}) over (partition by doc_id order by unit_ord rows between unbounded preceding and 1 preceding), 0)::bigint as start_sample, max(unit_ord) over (partition by doc_id) as last_ord from timed0"),
     ("bounds", f"select *, (start_sample * 1000) // {RATE} as start_ms, ((start_sample + samples) * 1000)::bigint // {RATE} as end_ms from timed"),
     ("tree", "select doc_id, section_id, section_id as above from sections union all select doc_id, section_id, parent_id from sections where parent_id is not null union all select s.doc_id, s.section_id, 'book' from sections s where s.parent_id not in ('book') and s.parent_id is not null"),
+    ("cleaned", r"select doc_id, unit_ord, id || ':sentence:' || sno as unit_id, regexp_replace(text, '[^\p{L}\p{N}''.,;:!?() ]', ' ', 'g') as text from units"),
+    ("pieces", f"select doc_id, unit_ord, unnest(c) as piece, generate_subscripts(c, 1) as chunk from (select doc_id, unit_ord, {packed(tokens('text'), 400)} as c from cleaned where trim(text) <> '')"),
+    ("told", f"select doc_id, unit_ord, chunk, unnest(s) as sentence, generate_subscripts(s, 1) as within from (select *, {sentences('piece')} as s from pieces)"),
+    ("heard", rf"select doc_id, unit_ord, chunk, within, place, regexp_replace(regexp_replace(token, '^[^\p{{L}}\p{{Nd}}'']+', ''), '[^\p{{L}}\p{{Nd}}'']+$', '') as word from (select *, unnest(w) as token, generate_subscripts(w, 1) as place from (select *, {tokens('sentence')} as w from told))"),
+    ("tried", f"select *, word = '' or word in ('the', 'Ames', '5', '3', '15') or regexp_full_match(word, '[A-Za-z]+') as known, regexp_full_match(translate(word, '{FOLD_FROM}', '{FOLD_TO}'), '[A-Za-z]+') as mended from heard"),
+    ("raised", "select doc_id, 'unknown_g2p_token' as kind, arg_min(word, place) as token, null as unit_id from tried where not known and not mended group by doc_id, unit_ord, chunk, within union all select doc_id, 'empty_narration_unit', null, unit_id from cleaned where trim(text) = ''"),
+    ("merged", "select doc_id, kind, coalesce(token, unit_id) as what, count(*) as n from raised group by all"),
     ("spans", "select t.doc_id, t.above as section_id, min(b.start_ms) as start_ms, max(b.end_ms) as end_ms, min(b.unit_ord) as unit_start from tree t join bounds b on t.doc_id = b.doc_id and t.section_id = b.section_id group by all"),
 ]
 
@@ -114,19 +121,64 @@ def with_steps(last: str, query: str) -> str:
     return "with " + ", ".join(f"{n} as materialized ({steps[n]})" for n in steps if n in wanted) + " " + query
 
 
-def _counts() -> str:
-    """Repairs of each document by rule, counted on the text that the rule reads."""
-    many = lambda t, p: rf"len(regexp_extract_all({t}, '{p}'))"
-    rules = {
-        "soft_hyphen_line_join": many("d.text", r"-\n"), "soft_hyphen": "length(d.text) - length(replace(d.text, chr(173), ''))", "currency_expansion": many("n2.t0", r"\$"), "zero_width": many("n3.t1", r"[\x{200b}\x{200c}\x{200d}\x{feff}]"),
-        "non_breaking_space": many("n3.t1", r"[\x{a0}\x{2007}\x{202f}]"), "dash": many("n3.t1", "[—–]"), "curly_quote": many("n3.t1", "[“”]"), "curly_apostrophe": many("n3.t1", "[‘’]"), "ellipsis": many("n3.t1", "…"),
-        "multiply_expansion": many("n3.t1", "×"), "equals_expansion": many("n3.t1", "="), "copyright_expansion": many("n3.t1", "©"), "spaced_ellipsis": many("n5.t2", rf"\.{WS}*\.{WS}*\."), "numeric_citation": many("n6.t3", r"\[[0-9,\- ]+\]"),
-        "url": rf"""len(list_filter({tokens('n6.t')}, lambda w: regexp_matches(w, '^[(\[{{"'']*https?://')))""",
+def _rules(p: str) -> dict[str, str]:
+    """How often each rule acts on a text, counted on what the rule reads: the steps of prefix ``p`` and the text, ``d.t``."""
+    many = lambda t, x: rf"len(regexp_extract_all({t}, '{x}'))"
+    return {
+        "soft_hyphen_line_join": many("d.t", r"-\n"), "soft_hyphen": "length(d.t) - length(replace(d.t, chr(173), ''))", "currency_expansion": many(f"{p}2.t0", r"\$"), "zero_width": many(f"{p}3.t1", r"[\x{200b}\x{200c}\x{200d}\x{feff}]"),
+        "non_breaking_space": many(f"{p}3.t1", r"[\x{a0}\x{2007}\x{202f}]"), "dash": many(f"{p}3.t1", "[—–]"), "curly_quote": many(f"{p}3.t1", "[“”]"), "curly_apostrophe": many(f"{p}3.t1", "[‘’]"), "ellipsis": many(f"{p}3.t1", "…"),
+        "multiply_expansion": many(f"{p}3.t1", "×"), "equals_expansion": many(f"{p}3.t1", "="), "copyright_expansion": many(f"{p}3.t1", "©"), "spaced_ellipsis": many(f"{p}5.t2", rf"\.{WS}*\.{WS}*\."), "numeric_citation": many(f"{p}6.t3", r"\[[0-9,\- ]+\]"),
+        "url": rf"""len(list_filter({tokens(f'{p}6.t')}, lambda w: regexp_matches(w, '^[(\[{{"'']*https?://')))""",
     }
-    each = " union all ".join(f"select d.doc_id, '{rule}' as rule, {n} as n from docs d join n2 on d.doc_id = n2.doc_id join n3 on d.doc_id = n3.doc_id join n5 on d.doc_id = n5.doc_id join n6 on d.doc_id = n6.doc_id" for rule, n in rules.items())
+
+
+def _counts() -> str:
+    """Repairs of each document by rule."""
+    steps = " ".join(f"join n{k} on d.doc_id = n{k}.doc_id" for k in (2, 3, 5, 6))
+    each = " union all ".join(f"select d.doc_id, '{rule}' as rule, {n} as n from (select doc_id, text as t from docs) d {steps}" for rule, n in _rules("n").items())
     return f"select rule, sum(n)::bigint as repairs, count(*) as documents from ({each}) where n > 0 group by rule"
 
 
+def _report() -> str:
+    """What was scanned, repaired and found in each document."""
+    steps = " ".join(f"join u{k} on d.doc_id = u{k}.doc_id and d.id = u{k}.id" for k in (2, 3, 5, 6))
+    repairs = f"select d.doc_id, sum({' + '.join(_rules('u').values())})::bigint as n from (select doc_id, id, said as t from items) d {steps} where exists (select 1 from units where units.doc_id = d.doc_id and units.id = d.id) group by d.doc_id"
+    return (
+        f"select s.doc_id::varchar as book_id, s.n as scanned_units, coalesce(h.n, 0) as scanned_sentences, 0::bigint as automatic_repairs, r.n as text_repairs, coalesce(m.n, 0)::bigint as best_effort_pronunciations, "
+        "coalesce(i.blocking, 0)::bigint as unresolved, '{' || coalesce(i.kinds, '') || '}' as issues_by_kind, coalesce(i.blocking, 0) = 0 as complete "
+        f"from (select doc_id, count(*) as n from units group by doc_id) s join ({repairs}) r on s.doc_id = r.doc_id left join (select doc_id, count(*) as n from told group by doc_id) h on s.doc_id = h.doc_id "
+        "left join (select doc_id, sum((not known and mended)::int) as n from tried group by doc_id) m on s.doc_id = m.doc_id "
+        "left join (select doc_id, sum(case when kind = 'unknown_g2p_token' then n else 0 end) as blocking, string_agg('\"' || kind || '\":' || n, ',' order by kind) as kinds from (select doc_id, kind, sum(n)::bigint as n from merged group by all) group by doc_id) i on s.doc_id = i.doc_id"
+    )
+
+
+def _paths() -> str:
+    """The base is a/b: each step up takes a folder, a third step up leaves the archive; a sign that isn't two hex digits spoils the text."""
+    reference = "repeat('../', (page_id % 4)::int) || path || case when page_id % 3 = 0 then '%20x%C3%A9' when page_id % 7 = 1 then '%zz' else '' end || '?q=1#f'"
+    path = "regexp_replace(reference, '[?#].*$', '')"
+    broken = lambda x: f"contains(regexp_replace({x}, '%[0-9A-Fa-f]{{2}}', '', 'g'), '%')"
+    parts = f"list_filter(string_split(replace(replace({path}, '%20', ' '), '%C3%A9', 'é'), '/'), lambda x: x not in ('', '.', '..'))"
+    return (
+        f"select page_id, case when {broken(path)} or page_id % 4 > 2 then null else array_to_string(list_concat((['a', 'b'])[1:(2 - page_id % 4)::int], {parts}), '/') end as resolved, case when not {broken('reference')} then replace(replace(reference, '%20', ' '), '%C3%A9', 'é') end as decoded "
+        f"from (select page_id, {reference} as reference from (select page_id, regexp_replace(url, '^https?://', '') as path from pages))"
+    )
+
+
+def _pages() -> str:
+    """Blocks of pages that have a list of links, an advertisement, a heading, paragraphs whose ends may be missing, and a footer."""
+    plain = "regexp_replace(regexp_replace({}, '<br>', ' ', 'g'), '<[^>]*>', '', 'g')"
+    text = plain
+    for entity, sign in (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        text = f"replace({text}, '{entity}', '{sign}')"
+    shown = inline(text.format("raw"))
+    rows = (
+        "select page_id, 1 as part, 0 as k, 'Navigation' as kind, 'book' as section_id, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) as raw from pages union all select page_id, 2, 0, 'Paragraph', 'book', regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1) from pages union all "
+        "select page_id, 3, generate_subscripts(ps, 1), 'Paragraph', 'section-1', unnest(ps) from (select page_id, string_split(regexp_extract(html, '(?s)</h1>(.*?)(?:</article>|$)', 1), '<p>') as ps from pages) union all "
+        "select page_id, 4, 0, 'Paragraph', 'section-1', regexp_extract(html, '(?s)<footer>(.*?)(?:</footer>|$)', 1) from pages"
+    )
+    return f"select page_id, section_id, row_number() over (partition by page_id, section_id order by part, k)::int as block_ord, kind, text from (select page_id, part, k, kind, section_id, {shown} as text from ({rows})) where text <> ''"
+
+
 def _roman(n: str) -> str:
     rows = {100: ",c,cc,ccc,cd,d,dc,dcc,dccc,cm", 10: ",x,xx,xxx,xl,l,lx,lxx,lxxx,xc", 1: ",i,ii,iii,iv,v,vi,vii,viii,ix"}
     return f"repeat('m', ({n}) // 1000) || " + " || ".join(f"string_split('{row}', ',')[({n}) // {p} % 10 + 1]" for p, row in rows.items())
@@ -172,8 +224,13 @@ def oracle_sql() -> dict[str, str]:
         "outline_assignment": "with p as (select doc_id % 5 as book_id, doc_id // 5 as page from documents), o as (select page_id % 5 as book_id, page_id // 10 as page, page_id % 3 + 1 as level, page_id as item from pages) select p.book_id, p.page, (select o.item from o where o.book_id = p.book_id and o.page <= p.page order by o.page desc, o.level desc, o.item desc limit 1) as item from p",
         "clamped_levels": "with recursive r as (select doc_id % 50 as book_id, doc_id // 50 as item, n_chars % 7 as level from documents), f as (select book_id, item, greatest(1, least(level, 1))::bigint as level from r where item = 0 union all select r.book_id, r.item, greatest(1, least(r.level, f.level + 1))::bigint from f join r on r.book_id = f.book_id and r.item = f.item + 1) select * from f",
         "section_parents": "with r as (select doc_id % 50 as book_id, doc_id // 50 as preorder, n_chars % 5 as level from documents) select r.book_id, r.preorder, (select max(q.preorder) from r q where q.book_id = r.book_id and q.preorder < r.preorder and q.level < r.level) as parent from r",
-        "issue_dedup_keep_first": f"with r as (select (doc_id % 20)::varchar as book_id, doc_id // 20 as ord, concat(source, ':', text[1]) as signature, {kinds}[(n_chars % 7 + 1)::int] as kind, doc_id::varchar as unit_id, greatest(n_chars % 3, 1) as n from documents), g as (select book_id, signature, sum(n)::bigint as occurrences, min(ord) as ord, arg_min(kind, ord) as kind, arg_min(unit_id, ord) as unit_id from r group by all) select book_id, row_number() over (partition by book_id order by ord) - 1 as issue_ord, signature, occurrences, kind, unit_id from g",
+        "issue_dedup_keep_first": f"with r as (select (doc_id % 20)::varchar as book_id, doc_id // 20 as ord, concat(source, ':', md5(text)) as signature, {kinds}[(n_chars % 7 + 1)::int] as kind, doc_id::varchar as unit_id, greatest(n_chars % 3, 1) as n from documents), g as (select book_id, signature, sum(n)::bigint as occurrences, min(ord) as ord, arg_min(kind, ord) as kind, arg_min(unit_id, ord) as unit_id from r group by all) select book_id, row_number() over (partition by book_id order by ord) - 1 as issue_ord, signature, occurrences, kind, unit_id from g",
         "phoneme_tokens": f"with w as (select w as word, count(*) as n from (select unnest({tokens('text')}) as w from documents) group by w), c as (select word, n, list_filter(string_split(word, ''), lambda x: x <> '') as cs from w) select word, n, case when len(list_filter(cs, lambda x: not list_contains(map_keys({ids}), x))) = 0 and len(cs) <= 510 then '0 ' || array_to_string(list_transform(cs, lambda x: {ids}[x]), ' ') || ' 0' end as ids, array_to_string(list_transform(list_filter(range(1, len(cs) + 1), lambda i: not list_contains(map_keys({ids}), cs[i]) and list_position(cs, cs[i]) = i), lambda i: cs[i]), '') as unsupported from c",
+        "unresolved_issues": with_steps("merged", "select kind, sum(n)::bigint as occurrences, count(*) as signatures from merged group by kind"),
+        "suggestion_tokens": with_steps("merged", "select what as token, what || '=' as line, count(*) as books from merged where kind = 'unknown_g2p_token' group by what"),
+        "preflight_report": with_steps("merged", _report()),
+        "archive_paths": _paths(),
+        "html_blocks": _pages(),
         "voices": "select * from (values " + ", ".join(f"('{a}', '{b}', {str(a.startswith('b')).lower()})" for a, b in VOICES) + ") t(name, sha256, british)",
     }
 

@@ -54,8 +54,8 @@ def spoken_blocks(blocks: DataFrame, footnotes: str = "inline") -> DataFrame:
     )
     block_id = F.concat_ws(":", "section_id", F.lit("block"), F.col("block_ord").cast("string"))
     warning = (
-        F.when((k == "Footnote") & (footnotes == "skip"), F.concat(F.lit("Skipped footnote "), block_id, F.lit(" by narration policy")))
-        .when(k == "Navigation", F.concat(F.lit("Skipped source navigation block "), block_id)).when(k == "Code", F.concat(F.lit("Skipped code block "), block_id, F.lit("; source remains preserved")))
+        F.when((k == "Footnote") & (footnotes == "skip"), F.concat(F.lit("footnote "), block_id, F.lit(" is left out")))
+        .when(k == "Navigation", F.concat(F.lit("list of links "), block_id, F.lit(" is left out"))).when(k == "Code", F.concat(F.lit("code "), block_id, F.lit(" is left out")))
     )
     cue = F.when(k.isin("Figure", "Footnote"), k).otherwise("Paragraph")
     return blocks.select("*", block_id.alias("item_id"), said.alias("said"), cue.alias("cue"), ((k == "Footnote") & (footnotes == "end")).alias("deferred"), warning.alias("warning"))
@@ -77,7 +77,7 @@ def plan(library: Library, footnotes: str = "inline", keep: Callable[[DataFrame,
         "book_id", (F.row_number().over(order) - 1).alias("unit_ord"), F.concat_ws(":", "item_id", F.lit("sentence"), (F.col("sentence_no") + 1).cast("string")).alias("unit_id"), "section_id", F.col("said").alias("original_text"), "text",
         "source_id", "start", "stop", F.when(F.col("sentence_no") == 0, F.col("repairs")).otherwise(empty).alias("repairs"), "item_id", "cue", "deferred", "preorder", "block_ord", "sentence_no",
     ), "units")
-    skipped = tops.select("book_id", "preorder", F.lit(0).alias("at"), F.concat(F.lit("Skipped "), kind_label("kind"), F.lit(' section "'), F.coalesce("title", F.lit("Untitled")), F.lit('" by default narration policy')).alias("warning"))
+    skipped = tops.select("book_id", "preorder", F.lit(0).alias("at"), F.concat(kind_label("kind"), F.lit(' "'), F.coalesce("title", F.lit("Untitled")), F.lit('" is left out')).alias("warning"))
     warned = told.filter("warning is not null").select("book_id", "preorder", F.col("block_ord").alias("at"), "warning")
     warnings = skipped.unionByName(warned).select("book_id", (F.row_number().over(Window.partitionBy("book_id").orderBy("preorder", "at")) - 1).alias("warning_ord"), "warning")
     return Plan(units, cues(units, kept), warnings)

@@ -178,7 +178,7 @@ def prepared(spark, sf_dir):
 
 
 def issue_dedup_keep_first(spark, sf_dir):
-    raw = spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") % 20).cast("string").alias("book_id"), F.floor(F.col("doc_id") / 20).alias("issue_ord"), F.concat(F.col("source"), F.lit(":"), F.substring("text", 1, 1)).alias("signature"), F.element_at(F.array(*map(F.lit, issues.KINDS)), (F.col("n_chars") % 7 + 1).cast("int")).alias("kind"), F.lit(None).cast("string").alias("token"), F.col("doc_id").cast("string").alias("unit_id"), (F.col("n_chars") % 3).alias("occurrences"))
+    raw = spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") % 20).cast("string").alias("book_id"), F.floor(F.col("doc_id") / 20).alias("issue_ord"), F.concat(F.col("source"), F.lit(":"), F.md5(F.col("text").cast("binary"))).alias("signature"), F.element_at(F.array(*map(F.lit, issues.KINDS)), (F.col("n_chars") % 7 + 1).cast("int")).alias("kind"), F.lit(None).cast("string").alias("token"), F.col("doc_id").cast("string").alias("unit_id"), (F.col("n_chars") % 3).alias("occurrences"))
     return issues.kept_first(raw).select("book_id", F.col("issue_ord").cast("long").alias("issue_ord"), "signature", "occurrences", "kind", "unit_id")
 
 

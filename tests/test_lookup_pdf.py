@@ -21,14 +21,14 @@ def test_pdf_outline_and_labels(spark):
     assert rows(lib.sections.orderBy("preorder"), "section_id", "parent_id", "title", "level") == [("book", None, "paper", 0), ("pdf-outline-1", "book", "One", 1), ("pdf-outline-2", "pdf-outline-1", "Closer", 2), ("pdf-outline-3", "book", "Two", 1)]
     assert rows(lib.blocks.orderBy("preorder"), "section_id", "text", "start.page_number", "start.character_offset", "stop.character_offset") == [("pdf-outline-1", "first page", 1, 4, 14), ("pdf-outline-2", "second", 2, 7, 15)]
     assert [r[0] for r in rows(lib.pages.orderBy("page_ord"), "label")] == ["i", "A-3", "A-4"] and lib.books.first().warnings == []
-    assert rows(lib.rejects, "book_id", "reason") == [("none", "PDF contains no extractable text; OCR is not supported")]
+    assert rows(lib.rejects, "book_id", "reason") == [("none", "no page has text; pictures of text are not read")]
 
 
 def test_pdf_inference(spark):
     lib = pdf(spark, ["PART I\nCHAPTER ONE\nalpha\nbeta\n\ngamma", "delta\nCHAPTER TWO\nx"], title=" Named ")
     assert rows(lib.sections.orderBy("preorder"), "section_id", "parent_id", "title", "level") == [("book", None, "Named", 0), ("pdf-inferred-1", "book", "Part I", 1), ("pdf-inferred-2", "pdf-inferred-1", "Chapter One", 2), ("pdf-inferred-3", "pdf-inferred-1", "Chapter Two", 2)]
     assert rows(lib.blocks.orderBy("preorder", "block_ord"), "section_id", "text", "start.page_number", "start.character_offset") == [("pdf-inferred-2", "alpha beta", 1, 19), ("pdf-inferred-2", "gamma", 1, 31), ("pdf-inferred-2", "delta", 2, 0), ("pdf-inferred-3", "x", 2, 18)]
-    assert [r[0] for r in rows(lib.pages.orderBy("page_ord"), "label")] == ["1", "2"] and "inferred 3 chapter headings" in lib.books.first().warnings[1]
+    assert [r[0] for r in rows(lib.pages.orderBy("page_ord"), "label")] == ["1", "2"] and "found in the text: 3" in lib.books.first().warnings[1]
     bare = pdf(spark, ["just text"])
     assert rows(bare.sections.orderBy("preorder"), "section_id") == [("book",), ("pdf-body",)] and rows(bare.blocks, "section_id", "text") == [("pdf-body", "just text")]
 

@@ -10,7 +10,8 @@ Training takes a bounded sample of labelled texts, drawn by a hash of the id; sc
 else.
 
 Defined results: a null or empty text is scored as a text without words; without labels every score is 0.5; a
-document with several labels is learned with each; repeated rows get equal scores; null ids are kept, in no fold;
+document with several labels is learned with each; equal texts get bit-equal scores wherever they stand; words of any
+length are read whole; null ids are kept, in no fold;
 other columns are left out; an empty table gives an empty one.
 """
 
@@ -134,7 +135,9 @@ class Model:
         out = np.zeros(2 * WIDTH + 4, np.float32)
         if words:
             at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
-            rows, counts = np.unique(at, return_counts=True)
+            rows, first, counts = np.unique(at, return_index=True, return_counts=True)
+            own = np.argsort(first)  # in the text's own order: places depend on what the worker has seen, and sums on the order
+            rows, counts = rows[own], counts[own]
             shares = (counts / len(words)).astype(np.float32)
             out[:WIDTH] = shares @ self.table[rows]
             out[WIDTH : 2 * WIDTH] = shares @ self.contexts[self.context[rows]]
@@ -164,7 +167,8 @@ class Model:
             return np.full(len(texts), 0.5)
         if not texts:
             return np.empty(0)
-        z = self.logits(self.features(texts)) / self.temperature
+        # one text at a time, so that what else a batch holds can't change a bit
+        z = np.array([self.logits(row[None])[0] for row in self.features(texts)]) / self.temperature
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -60, 60)))
 
 

@@ -538,3 +538,72 @@ def test_pipeline(spark, tmp_path):
     taken = Counter(r.doc_id for r in after["mixing"].collect())
     out = after["bpe"].collect()
     assert Counter(r.doc_id for r in out) == taken and all(coder.decode(r.ids) == clean[r.doc_id] and r.n_tokens == len(r.ids) for r in out)
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path, corpus):
+    """Null ids and texts, repeated rows, clashing names, no labels, no rows: each stage alone and all in a row."""
+    import corpus_pipeline
+
+    from .conftest import frame
+
+    docs = frame(spark, corpus)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = {name: stage(spark, docs, str(tmp_path)) for name, stage in corpus_pipeline.STAGES}
+    ids = sorted(map(repr, (i for i, *_ in corpus)))
+    for name in ("quality", "secrets", "bpe"):
+        assert sorted(repr(r.doc_id) for r in out[name].select("doc_id").collect()) == ids  # nothing rejected without labels
+    assert all(out[name].columns == docs.columns for name in ("quality", "near_duplicates", "secrets", "mixing"))
+    by_text = {(r.doc_id, r.text) for r in out["secrets"].collect()}
+    assert (None, None) in by_text and (131, "") in by_text
+    kept = out["near_duplicates"].collect()
+    assert sum(not (r.text or "").split() for r in kept) == 1 and len(kept) < len(corpus)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    empty = docs.limit(0)
+    assert all(stage(spark, empty, str(tmp_path)).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_quality_scores_do_not_depend_on_the_batch():
+    from lectern.llm import quality
+
+    import random
+
+    from .conftest import words
+
+    rng = random.Random(6)
+    texts = [(words(rng, 80) if k % 2 else " ".join(w + "##" for w in words(rng, 80).split())).encode() for k in range(200)]
+    model = quality.train(texts, np.array([k % 2 for k in range(200)]))
+    together = model.score(texts)
+    model.__post_init__()  # a worker that has seen nothing
+    alone = np.array([model.score([t])[0] for t in reversed(texts)])[::-1]
+    assert np.array_equal(together, alone) and (together[1::2] > 0.5).mean() > 0.95 and (together[::2] < 0.5).mean() > 0.95
+    # features in plain Python: the mean of the words' vectors, repeats of neighbours, share of different words, length
+    some = texts[0].split()
+    vectors = quality.word_vectors(some, model.index)
+    got = model.features([texts[0]])[0]
+    assert np.allclose(got[: quality.WIDTH], vectors.mean(axis=0), atol=1e-5) and np.isclose(got[-2], np.log1p(len(some))) and np.isclose(got[-1], len(set(some)) / len(some))
+    assert np.isclose(got[-4], np.mean([a == b for a, b in zip(some, some[1:])])) and np.isclose(got[-3], np.linalg.norm(vectors.mean(axis=0)), atol=1e-5)
+
+
+def test_secret_model_is_what_a_dictionary_counts(spark):
+    import math
+
+    from lectern.llm.secret_scan import ALPHABET, best_ratio, default_samples, ratio, train
+
+    samples = default_samples(spark, 300)
+    counts = {True: Counter(), False: Counter()}
+    for r in samples.collect():
+        signs = [c for c in r.sample if c in ALPHABET]
+        counts[r.random].update(zip(["", *signs], signs))
+    n = len(ALPHABET)
+
+    def log_ratio(a, b):
+        share = [(c[a, b] + 1) / (sum(v for (x, _), v in c.items() if x == a) + n) for c in (counts[True], counts[False])]
+        return math.log(share[0]) - math.log(share[1])
+
+    table = train(samples)
+    ask = ["aB3dE9xQ7LmN2p", "user_account_key", "x", "key=Zq8/Rt5+Lw0"]
+    got = spark.createDataFrame([(t,) for t in ask], "t string").select("t", ratio("t", table).alias("whole"), best_ratio("t", table).alias("best")).collect()
+    for r in got:
+        steps = [log_ratio(a, b) for a, b in zip(["", *r.t], r.t)]
+        assert r.whole == pytest.approx(sum(steps), abs=1e-6) and r.best == pytest.approx(max(0, max(sum(steps[i:j]) for i in range(len(steps)) for j in range(i + 1, len(steps) + 1))), abs=1e-6)

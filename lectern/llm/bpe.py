@@ -102,12 +102,13 @@ class ByteBPE:
         starts = ends - sizes
         return char_of[starts], char_of[ends - 1] + 1
 
-    def split_tokens(self, text: str, packed: bytes) -> int:
-        """How many tokens begin inside a character of the text."""
-        if text.isascii():
+    def split_tokens(self, raw: bytes, packed: bytes) -> int:
+        """How many tokens begin inside a character of the text, by their places in its bytes."""
+        if raw.isascii():
             return 0
-        starts, ends = self.offsets(text, np.frombuffer(packed, "<u4"))
-        return int((starts[1:] < ends[:-1]).sum())
+        sizes = self.token_sizes[np.frombuffer(packed, "<u4")]
+        starts = np.cumsum(sizes) - sizes
+        return int((np.frombuffer(raw, np.uint8)[starts] & 0xC0 == 0x80).sum())
 
     def decode_bytes(self, packed: bytes) -> bytes:
         """The bytes of packed ids. An id outside the vocabulary raises KeyError."""
@@ -178,7 +179,8 @@ def round_trip(docs: DataFrame, path: str | None = None, ids: bool = False) -> D
             place = {t: k for k, t in enumerate(dict.fromkeys(texts))}
             at = [place[t] for t in texts]
             packed = coder.packed(list(place))
-            made = [(len(p) // 4, sha(p).hexdigest(), sha(coder.decode_bytes(p)).hexdigest(), coder.split_tokens(t or "", p)) for t, p in zip(place, packed)]
+            raws = map(coder.decode_bytes, packed)
+            made = [(len(p) // 4, sha(p).hexdigest(), sha(raw).hexdigest(), coder.split_tokens(raw, p)) for p, raw in zip(packed, raws)]
             columns = list(zip(*[made[k] for k in at])) if at else [[]] * 4
             more = [pa.array([np.frombuffer(packed[k], "<i4") for k in at], pa.list_(pa.int32()))] if ids else []
             kinds = pa.int64(), pa.string(), pa.string(), pa.int64()

@@ -119,3 +119,36 @@ def chapter_texts(units: DataFrame) -> DataFrame:
     grouped = lined.groupBy("book_id", "run").agg(F.first("section_id").alias("section_id"), text.alias("text"))
     named = grouped.withColumn("chapter", F.col("run") + 1)
     return named.select("book_id", "chapter", "section_id", chapter_filename("chapter", "section_id").alias("file_name"), "text")
+
+
+def linked_walk(items: DataFrame, most: int = 10_000, deepest: int = 128) -> DataFrame:
+    """``book_id, item, object, level, problem``: the objects of ``items(book_id, object, first, next, top)`` in the order of a walk from the top ones.
+
+    ``first`` is the first object below one, ``next`` the one after it; several tops are walked by number. An object
+    that the walk meets again, a missing one, and more objects or levels than allowed give the book one row with a
+    problem and no others. One book is one group: the walk holds at most ``most`` objects of it.
+    """
+    import pyarrow as pa
+
+    schema = pa.schema([("book_id", pa.string()), ("item", pa.int64()), ("object", pa.int64()), ("level", pa.int32()), ("problem", pa.string())])
+
+    def walk(table: pa.Table) -> pa.Table:
+        rows = table.select(["object", "first", "next", "top"]).to_pylist()
+        known = {r["object"]: r for r in rows}
+        todo = [(r["object"], 1) for r in sorted((r for r in rows if r["top"]), key=lambda r: r["object"], reverse=True)]
+        seen: dict[int, int] = {}
+        problem = None
+        while todo and problem is None:
+            at, level = todo.pop()
+            problem = (
+                "an item is missing" if at not in known else "the items form a circle" if at in seen else f"there are over {most} items" if len(seen) == most else f"there are over {deepest} levels" if level > deepest else None
+            )
+            if problem is None:
+                seen[at] = level
+                todo += [(x, n) for x, n in ((known[at]["next"], level), (known[at]["first"], level + 1)) if x is not None]
+        book = table.column("book_id")[0].as_py()
+        out = [(book, None, None, None, problem)] if problem else [(book, n, at, level, None) for n, (at, level) in enumerate(seen.items())]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(schema), schema)], schema=schema)
+
+    typed = items.select(F.col("book_id").cast("string").alias("book_id"), *[F.col(c).cast("long").alias(c) for c in ("object", "first", "next")], F.coalesce("top", F.lit(False)).alias("top"))
+    return typed.groupBy("book_id").applyInArrow(walk, "book_id string, item bigint, object bigint, level int, problem string")

@@ -18,6 +18,8 @@ from ..functions.text import ascii_fold, chunks, packed_sentences, sentences, sp
 from .issues import by_kind, kept_first, unresolved
 
 CHARACTERS, PHONEMES = 400, 200
+#: A limit that no text reaches and regular expressions still take.
+WHOLE = 1 << 30
 UNPRONOUNCED = "a word has no pronunciation; one can be given as WORD=IPA"
 _EDGE = r"^[^\p{IsAlphabetic}\p{IsDigit}']+|[^\p{IsAlphabetic}\p{IsDigit}']+\z"
 
@@ -125,3 +127,12 @@ def mismatches(units: DataFrame, prepared: DataFrame) -> DataFrame:
 
     ready = prepared.withColumn("status", F.coalesce("status", F.lit("ready")))
     return zipped_differences(units.withColumn("status", F.lit("ready")), ready, ["book_id", "unit_ord"], ["unit_id", "text", "original_text", "status"])
+
+
+def phonemized(units: DataFrame, lexicon: DataFrame | None = None, pronunciations: DataFrame | None = None, max_phonemes: int = PHONEMES, fallback=letters_as_phonemes) -> DataFrame:
+    """``book_id, unit_ord, unit_id, phoneme_chunks`` of whole texts, not cut by characters first; raises the first problem in reading order."""
+    made = prepare(units, lexicon, pronunciations, WHOLE, max_phonemes, fallback)
+    first = made.issues.orderBy("book_id", "issue_ord").select("unit_id", "detail").head()
+    if first is not None:
+        raise ValueError(f"{first.unit_id}: {first.detail}")
+    return made.units.select("book_id", "unit_ord", "unit_id", "phoneme_chunks")

@@ -101,13 +101,30 @@ def to_int16(samples: np.ndarray) -> np.ndarray:
     return (np.sign(scaled) * np.floor(np.abs(scaled) + np.float32(0.5))).astype("<i2")
 
 
-def wav(pieces: Iterable[np.ndarray | int], rate: int = RATE) -> bytes:
-    """A mono 16-bit file of pieces in order; a number is that many samples of silence."""
-    out = io.BytesIO()
+def write_wav(out, pieces: Iterable[np.ndarray | int], rate: int = RATE, buffer: int = 4096) -> tuple[int, float]:
+    """Write a mono 16-bit file of pieces in order to an open file; a number is that many samples of silence.
+
+    No more than a buffer of the output is held at a time. Returns the samples and the largest amplitude.
+    """
+    total, loudest = 0, 0.0
     with wave.open(out, "wb") as file:
         file.setparams((1, 2, rate, 0, "NONE", ""))
         for piece in pieces:
-            file.writeframes(bytes(2 * piece) if isinstance(piece, int) else to_int16(piece).tobytes())
+            n = piece if isinstance(piece, int) else len(checked_pcm(piece))
+            for at in range(0, n, buffer):
+                part = min(buffer, n - at)
+                if isinstance(piece, int):
+                    file.writeframesraw(bytes(2 * part))
+                else:
+                    loudest = max(loudest, float(np.abs(piece[at : at + part]).max()))
+                    file.writeframesraw(to_int16(piece[at : at + part]).tobytes())
+            total += n
+    return total, loudest
+
+
+def wav(pieces: Iterable[np.ndarray | int], rate: int = RATE) -> bytes:
+    out = io.BytesIO()
+    write_wav(out, pieces, rate)
     return out.getvalue()
 
 

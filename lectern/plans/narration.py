@@ -115,3 +115,14 @@ def section_texts(sections: DataFrame, blocks: DataFrame) -> DataFrame:
     parts: DataFrame = titles.unionByName(blocks.select("book_id", "preorder", F.col("block_ord").alias("at"), shown.alias("part")))
     joined: Column = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("preorder", "at", "part"))), lambda x: x["part"]), "\n\n")
     return parts.groupBy("book_id").agg(joined.alias("text")).withColumn("words", word_count("text"))
+
+
+def subtree_words(sections: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``book_id, section_id, own_words, words``: words of a section's blocks, and with those of all sections below it. Titles don't count."""
+    from ..functions.text import word_count
+
+    shown = F.when(F.col("kind") == "Figure", F.coalesce("caption", "alt_text", F.lit(""))).otherwise(F.coalesce("text", F.lit("")))
+    own = blocks.groupBy("book_id", "section_id").agg(F.sum(word_count(shown)).cast("long").alias("n"))
+    each = sections.join(own, ["book_id", "section_id"], "left").select("book_id", "section_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.explode(F.array_append("ancestors", F.col("section_id"))).alias("above"))
+    mine = F.when(F.col("above") == F.col("section_id"), F.col("n")).otherwise(0)
+    return each.groupBy("book_id", F.col("above").alias("section_id")).agg(F.sum(mine).cast("long").alias("own_words"), F.sum("n").cast("long").alias("words"))

@@ -96,6 +96,19 @@ def metadata(package, title: str) -> tuple[str, list[str], str | None]:
     return first("title") or title, authors, first("language")
 
 
+def cover(archive: Archive, package, items: dict[str, Item], warnings: list[str]) -> tuple[str, str, bytes] | None:
+    """The image that the manifest or, in older packages, a name in the metadata marks as the cover; a warning if it can't be read."""
+    named = next((e.get("content") for e in package.iter() if local(e.tag) == "meta" and e.get("name") == "cover"), None)
+    item = next((i for i in items.values() if "cover-image" in i.properties), None) or items.get(named)
+    if item is None:
+        return None
+    try:
+        return "/" + item.path, item.media, archive.read(item.path)
+    except (Rejected, KeyError, TypeError):
+        warnings.append(f"the cover /{item.path or item.id} can't be read; left out")
+        return None
+
+
 def supported(item: Item) -> bool:
     return item.media in MEDIA and "scripted" not in item.properties
 
@@ -473,4 +486,4 @@ def import_epub(path: str, content: bytes) -> Book:
         root.children = [s for d in documents for s in (*loose(d), *d.root.children)]
     pages = marks(page_list, resource, spine, warnings) or [(label, where, d.resource) for d in documents for label, where in d.pages]
     version = (package.get("version") or "").strip() or None
-    return Book(path, "EPUB", root, title, authors, language, version, pages, warnings)
+    return Book(path, "EPUB", root, title, authors, language, version, pages, warnings, cover(archive, package, items, warnings))

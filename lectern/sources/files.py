@@ -34,6 +34,11 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.sha2("path", 256).alias("book_id"), "path", "content", "length")
 
 
+def hashes(files: DataFrame) -> DataFrame:
+    """``book_id, sha256`` of the contents of files that aren't too large to be read."""
+    return files.filter(F.col("length") <= LARGEST).select("book_id", F.sha2("content", 256).alias("sha256"))
+
+
 def routed(files: DataFrame) -> DataFrame:
     """``files`` with ``kind`` and a ``reason`` to reject: unknown types and files above their limit. Reads no content."""
     extension = ascii_lower(F.regexp_extract("path", r"\.([^./]*)\z", 1))

@@ -105,6 +105,8 @@ class Book:
     format_version: str | None = None
     pages: list[tuple[str, dict, str]] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
+    #: source, media type and bytes
+    cover: tuple[str, str, bytes] | None = None
 
 
 def stem(path: str) -> str:
@@ -172,7 +174,7 @@ def nested(book_id: str, book: Book) -> dict:
         sections.append({"book_id": book_id, "section_id": s.id, "parent_id": above[-1] if above else None, "preorder": n, "depth": len(above), "kind": s.kind, "title": s.title, "level": min(s.level, 255), "provenance": s.provenance, **_ends(s.span), "ancestors": list(above)})
         for k, b in enumerate(s.blocks):
             blocks.append({"book_id": book_id, "section_id": s.id, "preorder": n, "block_ord": k + 1, "kind": b.kind, "text": b.text, "ordered": b.ordered, "items": b.items, "alt_text": b.alt_text, "caption": b.caption, **_ends(b.span)})
-    about = {"book_id": book_id, "path": book.path, "format": book.format, "format_version": book.format_version, "title": book.title, "authors": book.authors, "language": book.language, "warnings": book.warnings}
+    about = {"book_id": book_id, "path": book.path, "format": book.format, "format_version": book.format_version, "title": book.title, "authors": book.authors, "language": book.language, "cover": book.cover and dict(zip(("source_id", "media_type", "content"), book.cover)), "warnings": book.warnings}
     pages = [{"book_id": book_id, "page_ord": k, "label": label, "position": position, "source_id": source} for k, (label, position, source) in enumerate(book.pages)]
     return {"book_id": book_id, "path": book.path, "reason": None, "book": about, "sections": sections, "blocks": blocks, "pages": pages}
 

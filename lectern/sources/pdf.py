@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.structure import heading_kind, source_id, stem, text_heading
 from ..functions.text import ascii_lower, inline, trim
 from ..operators.lookup import clamped_levels, outline_of_pages, page_labels, parents
-from .schema import POSITION, Library
+from .schema import COVER, POSITION, Library
 
 PAGES, PAGE_BYTES, TOTAL_BYTES = 10_000, 16 << 20, 128 << 20
 NO_TEXT = "no page has text; pictures of text are not read"
@@ -126,5 +126,5 @@ def import_pages(books: DataFrame, pages: DataFrame, outline: DataFrame, label_r
     said = F.array_compact(F.array(
         F.when(F.col("labelled").isNull(), NO_LABELS), F.when(F.col("outlined").isNull(), F.coalesce(F.concat(F.lit("there is no outline; headings found in the text: "), F.col("headings").cast("string"), F.lit("")), F.lit(NO_HEADINGS))), F.when(F.col("outlined").isNull(), NOT_TAGGED),
     ))
-    listed = about.select("book_id", "path", F.lit("PDF").alias("format"), none.cast("string").alias("format_version"), "title", F.coalesce("authors", F.array().cast("array<string>")).alias("authors"), none.cast("string").alias("language"), said.alias("warnings"))
+    listed = about.select("book_id", "path", F.lit("PDF").alias("format"), none.cast("string").alias("format_version"), "title", F.coalesce("authors", F.array().cast("array<string>")).alias("authors"), none.cast("string").alias("language"), none.cast(COVER).alias("cover"), said.alias("warnings"))
     return Library(listed, root.unionByName(authored).unionByName(guessed), blocks, marked, rejects)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.structure import source_id, stem, text_heading
 from ..functions.text import inline
-from .schema import BLOCKS, BOOKS, PAGES, POSITION, REJECTS, SECTIONS, Library
+from .schema import BLOCKS, BOOKS, COVER, PAGES, POSITION, REJECTS, SECTIONS, Library
 
 UNSTRUCTURED = "no headings were found; the text is one body"
 _END = r"\r\n|\r|\n"
@@ -77,7 +77,7 @@ def import_text(df: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lam
         "book_id", F.when(F.col("preorder") == 0, "book").otherwise(name(F.col("preorder"))).alias("section_id"), "preorder", "block_ord", F.lit("Paragraph").alias("kind"), "text", none.cast("boolean").alias("ordered"),
         none.cast("array<string>").alias("items"), none.cast("string").alias("alt_text"), none.cast("string").alias("caption"), "source_id", text_position(F.col("first")).alias("start"), text_position(F.col("final")).alias("stop"),
     )
-    books = known.select("book_id", "path", F.lit("TXT").alias("format"), none.cast("string").alias("format_version"), stem("path").alias("title"), F.array().cast("array<string>").alias("authors"), none.cast("string").alias("language"), F.when(F.col("plain"), F.array(F.lit(UNSTRUCTURED))).otherwise(F.array().cast("array<string>")).alias("warnings"))
+    books = known.select("book_id", "path", F.lit("TXT").alias("format"), none.cast("string").alias("format_version"), stem("path").alias("title"), F.array().cast("array<string>").alias("authors"), none.cast("string").alias("language"), none.cast(COVER).alias("cover"), F.when(F.col("plain"), F.array(F.lit(UNSTRUCTURED))).otherwise(F.array().cast("array<string>")).alias("warnings"))
     spark = df.sparkSession
     return Library(books.select(*[c.split()[0] for c in _top_level(BOOKS)]), sections, blocks.select(*[c.split()[0] for c in _top_level(BLOCKS)]), spark.createDataFrame([], PAGES), rejects.select(*[c.split()[0] for c in _top_level(REJECTS)]))
 

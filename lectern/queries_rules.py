@@ -363,7 +363,7 @@ _ESCAPED = r"replace(regexp_replace({0}, '([\\=;#])', '\\\1', 'g'), chr(10), '\n
 
 @asked(
     "with c as (select page_id % 50 as b, string_agg('[CHAPTER]' || chr(10) || 'TIMEBASE=1/1000' || chr(10) || 'START=' || page_id || chr(10) || 'END=' || (page_id + 7) || chr(10) || 'title=' || " + _ESCAPED.format("url") + " || chr(10), '' order by page_id) as t from pages group by all) "
-    "select doc_id::varchar as book_id, ';FFMETADATA1' || chr(10) || 'title=' || case when n_chars % 3 = 0 then 'Untitled' else source || '\\=' || doc_id end || chr(10) || case when n_chars % 2 = 0 then 'artist=' || lang || '\; ' || source || chr(10) else '' end || coalesce(t, '') as text from documents left join c on b = doc_id"
+    "select doc_id::varchar as book_id, ';FFMETADATA1' || chr(10) || 'title=' || case when n_chars % 3 = 0 then 'Untitled' else source || '\\=' || doc_id end || chr(10) || case when n_chars % 2 = 0 then 'artist=' || lang || '\\; ' || source || chr(10) else '' end || coalesce(t, '') as text from documents left join c on b = doc_id"
 )
 def metadata_files(spark, sf_dir):
     books = made(spark, sf_dir, "documents", "cast(doc_id as string) as book_id", "case when n_chars % 3 > 0 then concat(source, '=', doc_id) end as title", "case when n_chars % 2 = 0 then array(lang, source) else cast(array() as array<string>) end as authors")

@@ -41,10 +41,10 @@ class Timeline:
 
 
 def load(spark: SparkSession, path: str) -> Library:
-    """The library of all files below a folder; what can't be read is in ``rejects``."""
+    """The library of all files below a folder; what can't be read is in ``rejects``. Contents are hashed now, as they may change later."""
     files = read_files(spark, path)
     library = import_files(files)
-    library.hashes = hashes(files)
+    library.hashes = written(hashes(files), "hashes")
     library.sections, library.blocks = written(library.sections, "sections"), written(library.blocks, "blocks")
     return library
 

@@ -61,26 +61,36 @@ def spoken_blocks(blocks: DataFrame, footnotes: str = "inline") -> DataFrame:
     return blocks.select("*", block_id.alias("item_id"), said.alias("said"), cue.alias("cue"), ((k == "Footnote") & (footnotes == "end")).alias("deferred"), warning.alias("warning"))
 
 
-def plan(library: Library, footnotes: str = "inline", keep: Callable[[DataFrame, str], DataFrame] = lambda df, label: df) -> Plan:
-    """``keep`` may write the units, which the cues read too, and cut the lineage there."""
+def plan(library: Library, footnotes: str = "inline", keep: Callable[[DataFrame, str], DataFrame] = lambda df, label: df, originals: bool = True, parts: int | None = None) -> Plan:
+    """``keep`` may write the units, which the cues read too, and cut the lineage there.
+
+    A unit's original text is that of its whole item. Only the first sentence carries it until it is asked for, so that
+    what moves and is written grows with the text and not with the square of a paragraph. Without ``originals`` the
+    units lack that column. Where the blocks are dealt by book into ``parts``, headings are too, and the blocks stay in place.
+    """
     kept, tops = pruned(library.sections)
     told = spoken_blocks(library.blocks, footnotes).join(kept.select("book_id", "section_id"), ["book_id", "section_id"], "left_semi")
     headings = kept.filter(~F.col("kind").isin("Book", "BodyMatter") & F.col("title").isNotNull()).select(
         "book_id", "section_id", "preorder", F.lit(0).alias("block_ord"), F.concat(F.col("section_id"), F.lit(":heading")).alias("item_id"), F.col("title").alias("said"), F.lit(None).cast("string").alias("cue"), F.lit(False).alias("deferred"), "source_id", "start", "stop"
     )
+    headings = headings.repartition(parts, "book_id") if parts else headings
     items = headings.unionByName(told.filter("said is not null").select(*headings.columns))
     spoken = with_speech(items, "said")
     split = exploded(spoken, ["*"], sentences("spoken"), "sentence_no", "text")  # none of a unit with nothing to say
     order = Window.partitionBy("book_id").orderBy("deferred", "preorder", "block_ord", "sentence_no")
     empty = F.create_map().cast("map<string,bigint>")
-    units = keep(split.select(
-        "book_id", (F.row_number().over(order) - 1).alias("unit_ord"), F.concat_ws(":", "item_id", F.lit("sentence"), (F.col("sentence_no") + 1).cast("string")).alias("unit_id"), "section_id", F.col("said").alias("original_text"), "text",
-        "source_id", "start", "stop", F.when(F.col("sentence_no") == 0, F.col("repairs")).otherwise(empty).alias("repairs"), "item_id", "cue", "deferred", "preorder", "block_ord", "sentence_no",
-    ), "units")
+    is_first = F.col("sentence_no") == 0
+    made = split.select(
+        "book_id", F.concat_ws(":", "item_id", F.lit("sentence"), (F.col("sentence_no") + 1).cast("string")).alias("unit_id"), "section_id", *([F.when(is_first, F.col("said")).alias("said")] if originals else []), "text",
+        "source_id", "start", "stop", F.when(is_first, F.col("repairs")).otherwise(empty).alias("repairs"), "item_id", "cue", "deferred", "preorder", "block_ord", "sentence_no",
+    )
+    kept_units = keep(made.withColumn("unit_ord", F.row_number().over(order) - 1), "units")
+    whole = [F.max("said").over(Window.partitionBy("book_id", "item_id")).alias("original_text")] if originals else []
+    units = kept_units.select("book_id", "unit_ord", "unit_id", "section_id", *whole, "text", "source_id", "start", "stop", "repairs", "item_id", "cue", "deferred", "preorder", "block_ord", "sentence_no")
     skipped = tops.select("book_id", "preorder", F.lit(0).alias("at"), F.concat(kind_label("kind"), F.lit(' "'), F.coalesce("title", F.lit("Untitled")), F.lit('" is left out')).alias("warning"))
     warned = told.filter("warning is not null").select("book_id", "preorder", F.col("block_ord").alias("at"), "warning")
     warnings = skipped.unionByName(warned).select("book_id", (F.row_number().over(Window.partitionBy("book_id").orderBy("preorder", "at")) - 1).alias("warning_ord"), "warning")
-    return Plan(units, cues(units, kept), warnings)
+    return Plan(units, cues(kept_units, kept), warnings)
 
 
 def section_spans(units: DataFrame, sections: DataFrame) -> DataFrame:

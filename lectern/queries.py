@@ -7,6 +7,7 @@ with one expression for both engines. The SQL is written from the rules, not fro
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from .functions import text as T
 from .operators import cache, issues, lookup, prepare
 from .plans import narration, sidecar, timeline
 from .sources.text import import_text, text_position
-from .storage import spread, written
+from .storage import dealt, in_buckets, spread, written
 
 DECORATED = (
     "concat(case doc_id % 7 when 0 then 'PART I\nCHAPTER ONE\n' when 1 then 'Chapter 1: Start\n\n' when 2 then 'chapter one explains\n' else '' end, text, "
@@ -32,17 +33,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", F.expr(DECORATED).alias("text"))
 
 
+def dealt_library(spark: SparkSession, sf_dir: str):
+    """All documents as books. Each moves once, to the others of its bucket; the lines, which every table reads, are written once. With the number of buckets."""
+    rows, parts = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.col("doc_id").cast("string").alias("book_id")), "book_id")
+    named = rows.select("book_id", "doc_id", F.expr(DECORATED).alias("text")).select("book_id", F.concat(F.lit("d"), "book_id", F.lit(".txt")).alias("path"), "text")
+    return import_text(named, keep=partial(in_buckets, parts=parts)), parts
+
+
 def library(spark: SparkSession, sf_dir: str):
-    """All documents as books. The lines, which every table reads, are written once."""
-    named = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("book_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
-    return import_text(named, keep=written)
+    return dealt_library(spark, sf_dir)[0]
 
 
 def planned(spark: SparkSession, sf_dir: str):
-    """The library, its plan and the rendered units. Tables that several steps read are written once."""
-    lib = library(spark, sf_dir)
-    lib.sections, lib.blocks = written(lib.sections, "sections"), written(lib.blocks, "blocks")
-    plan = narration.plan(lib, keep=written)
+    """The library, its plan and the rendered units, without original texts. Tables that several steps read are written once."""
+    lib, parts = dealt_library(spark, sf_dir)
+    lib.sections = written(lib.sections, "sections")
+    plan = narration.plan(lib, keep=partial(in_buckets, parts=parts), originals=False, parts=parts)
     return lib, plan, timeline.rendered(plan.units, LIMIT, RATE)
 
 

@@ -31,6 +31,29 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, by: str) -> tuple[DataFrame, int]:
+    """``df`` dealt by a key once, so that windows, groups and joins by it, also through ``in_buckets``, move no row again; and the number of parts.
+
+    There are as many as the session asks for, or as the files have splits, if those are more. The session is told that
+    joins by the key and further columns keep the deal too.
+    """
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), df._jdf.rdd().getNumPartitions())
+    return df.repartition(parts, by), parts
+
+
+def in_buckets(df: DataFrame, label: str, parts: int, by: str = "book_id") -> DataFrame:
+    """Like ``written``, as a table that Spark knows to be dealt by ``by``; ``df`` should come from rows ``dealt`` alike.
+
+    A table of the session's catalog whose files lie in the shared folder; ``purge`` drops it.
+    """
+    spark = df.sparkSession
+    name = f"lectern_{label}_{uuid.uuid4().hex}"
+    df.write.option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").bucketBy(parts, by).saveAsTable(name)
+    return spark.table(name)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores, if the files have fewer splits than that; large inputs are left as they are read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -39,5 +62,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 def purge(spark: SparkSession) -> None:
     """Delete the tables written so far. Call it when no result that reads them is needed any more."""
+    for table in spark.catalog.listTables(pattern="lectern_*"):
+        if re.fullmatch(r"lectern_[a-z]+_[0-9a-f]{32}", table.name):
+            spark.sql(f"drop table {table.name}")
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

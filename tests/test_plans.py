@@ -25,3 +25,27 @@ def test_narrow_reads(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = docs.filter("doc_id > 5").select("doc_id", T.word_count("text").alias("n"))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and "GreaterThan(doc_id,5)" in plan
+
+
+def test_originals_once(spark):
+    """A long paragraph is written once, not with each of its sentences, and still given with each."""
+    from functools import partial
+
+    from lectern.plans import narration
+    from lectern.sources.text import import_text
+    from lectern.storage import dealt, in_buckets
+
+    text = "CHAPTER ONE\n" + "Rain fell on us. " * 300
+    rows, parts = dealt(spark.createDataFrame([("a", "a.txt", text), ("b", "b.txt", "One. Two.")], "book_id string, path string, text string"), "book_id")
+    kept = []
+
+    def keep(df, label):
+        kept.append(in_buckets(df, label, parts))
+        return kept[-1]
+
+    plan = narration.plan(import_text(rows, keep=partial(in_buckets, parts=parts)), keep=keep, parts=parts)
+    assert sum(len(str(r)) for r in kept[0].drop("repairs", "start", "stop", "unit_id").collect()) < 60 * len(text)
+    got = plan.units.filter("book_id = 'a' and item_id like '%block%'").select("original_text").distinct().collect()
+    assert [r[0] for r in got] == ["Rain fell on us. " * 299 + "Rain fell on us."]
+    # units are numbered and timed by book without another exchange
+    assert "Exchange" not in kept[0].groupBy("book_id").count()._jdf.queryExecution().executedPlan().toString()

@@ -121,12 +121,13 @@ def chapter_texts(units: DataFrame) -> DataFrame:
     return named.select("book_id", "chapter", "section_id", chapter_filename("chapter", "section_id").alias("file_name"), "text")
 
 
-def linked_walk(items: DataFrame, most: int = 10_000, deepest: int = 128) -> DataFrame:
+def linked_walk(items: DataFrame, most: int | None = 10_000, deepest: int | None = 128) -> DataFrame:
     """``book_id, item, object, level, problem``: the objects of ``items(book_id, object, first, next, top)`` in the order of a walk from the top ones.
 
     ``first`` is the first object below one, ``next`` the one after it; several tops are walked by number. An object
     that the walk meets again, a missing one, and more objects or levels than allowed give the book one row with a
-    problem and no others. One book is one group: the walk holds at most ``most`` objects of it.
+    problem and no others. One book is one group: the walk holds at most ``most`` objects of it. The defaults are the
+    bounds of files that may be broken; ``None`` walks all of a table's objects and levels.
     """
     import pyarrow as pa
 
@@ -141,7 +142,7 @@ def linked_walk(items: DataFrame, most: int = 10_000, deepest: int = 128) -> Dat
         while todo and problem is None:
             at, level = todo.pop()
             problem = (
-                "an item is missing" if at not in known else "the items form a circle" if at in seen else f"there are over {most} items" if len(seen) == most else f"there are over {deepest} levels" if level > deepest else None
+                "an item is missing" if at not in known else "the items form a circle" if at in seen else f"there are over {most} items" if len(seen) == most else f"there are over {deepest} levels" if deepest is not None and level > deepest else None
             )
             if problem is None:
                 seen[at] = level

@@ -82,3 +82,19 @@ def test_cache(spark):
     key = asked.first().key
     assert len(key) == 64 and cache.requests(units, 100, cache.Identity(voice="x")).first().key != key
     assert rows(asked.limit(1).select(cache.seed("key").alias("s")), "s")[0][0] == int.from_bytes(bytes.fromhex(key[:8]), "little")
+
+
+def test_walk_without_bounds(spark, tmp_path):
+    """The query walks its whole table, however many levels a book has; the operator keeps the bounds of files."""
+    from pyspark.sql import functions as F
+
+    from lectern.operators.lookup import linked_walk
+    from lectern.queries_rules import QUERIES
+
+    n = 50 * 1400
+    spark.range(n).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars")).write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["linked_outlines"](spark, str(tmp_path))
+    assert found.filter("book_id <> '0'").agg(F.count("item"), F.max("level"), F.max("item")).first()[:] == (n - 1400, 140, 1399)
+    chain = spark.range(200).selectExpr("'b' as book_id", "id as object", "case when id < 199 then id + 1 end as first", "cast(null as long) as next", "id = 0 as top")
+    assert [r.problem for r in linked_walk(chain).collect()] == ["there are over 128 levels"]
+    assert linked_walk(chain, most=None, deepest=None).count() == 200

@@ -8,6 +8,7 @@ replaces the token alone and the sentence keeps its other words.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,8 @@ from ..functions.text import ascii_fold, chunks, packed_sentences, sentences, sp
 from .issues import by_kind, kept_first, unresolved
 
 CHARACTERS, PHONEMES = 400, 200
+#: Mended words that are sent to every task at most.
+BROADCAST_ROWS = 100_000
 #: A limit that no text reaches and regular expressions still take.
 WHOLE = 1 << 30
 UNPRONOUNCED = "a word has no pronunciation; one can be given as WORD=IPA"
@@ -58,8 +61,12 @@ def _sounded(words: DataFrame, word: str, lexicon: DataFrame | None, override: D
     return words.withColumn("sound", F.coalesce(*found)).drop("__p0", "__p1")
 
 
-def prepare(units: DataFrame, lexicon: DataFrame | None = None, pronunciations: DataFrame | None = None, max_characters: int = CHARACTERS, max_phonemes: int = PHONEMES, fallback=letters_as_phonemes) -> Prepared:
-    """``units(book_id, unit_ord, unit_id, section_id, text)`` with ``status`` and ``phoneme_chunks``; their sentences; their issues."""
+def prepare(units: DataFrame, lexicon: DataFrame | None = None, pronunciations: DataFrame | None = None, max_characters: int = CHARACTERS, max_phonemes: int = PHONEMES, fallback=letters_as_phonemes, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> Prepared:
+    """``units(book_id, unit_ord, unit_id, section_id, text)`` with ``status`` and ``phoneme_chunks``; their sentences; their issues.
+
+    ``keep`` may write the mended words, one row each. Up to ``BROADCAST_ROWS`` of them then go to every task, so that
+    the tokens of units that are dealt by book stay in place; more are joined by the planner's choice.
+    """
     override = overrides(pronunciations) if pronunciations is not None else None
     unit = ["book_id", "unit_ord"]
     empty = units.filter(trim(F.coalesce("text", F.lit(""))) == "")
@@ -76,7 +83,11 @@ def prepare(units: DataFrame, lexicon: DataFrame | None = None, pronunciations:
     pieces = tries.select("word", "rank", "candidate", F.posexplode(tokens("candidate")).alias("n", "part"))
     spoken = _sounded(pieces, "part", lexicon, override, fallback).groupBy("word", "rank", "candidate").agg(F.every(F.col("sound").isNotNull()).alias("whole"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "sound"))), lambda x: x["sound"]), " ").alias("sound"))
     repaired = spoken.filter("whole").groupBy("word").agg(F.min_by(F.struct("candidate", F.col("sound").alias("second")), "rank").alias("r"))
-    sounded = known.join(repaired.select("word", "r.*"), "word", "left").withColumn("mended", F.col("sound").isNull() & F.col("second").isNotNull()).withColumn("sound", F.coalesce("sound", "second", F.when(F.col("word") == "", F.lit(""))))
+    mended = repaired.select("word", "r.*")
+    if keep is not None:
+        mended = keep(mended, "mended")
+        mended = F.broadcast(mended) if mended.count() <= BROADCAST_ROWS else mended
+    sounded = known.join(mended, "word", "left").withColumn("mended", F.col("sound").isNull() & F.col("second").isNotNull()).withColumn("sound", F.coalesce("sound", "second", F.when(F.col("word") == "", F.lit(""))))
     entry = F.struct("at", F.concat("lead", F.coalesce("sound", F.lit("")), "trail").alias("sound"))
     joined = sounded.groupBy(*key).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["sound"]), " ").alias("raw"), F.min_by("word", F.when(F.col("sound").isNull(), F.col("at"))).alias("unknown"),

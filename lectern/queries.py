@@ -178,9 +178,10 @@ def section_parents(spark, sf_dir):
 
 def prepared(spark, sf_dir):
     plan = planned(spark, sf_dir)[1]
-    lexicon = spark.createDataFrame([("the", "ðə"), ("Ames", "Amz"), ("5", "fIv"), ("3", "θɹi"), ("15", "fɪftin")], "word string, phonemes string")
+    # as values, whose size the planner knows; rows from Python would send each token to its word
+    lexicon = spark.sql("select * from values ('the', 'ðə'), ('Ames', 'Amz'), ('5', 'fIv'), ('3', 'θɹi'), ('15', 'fɪftin') as t(word, phonemes)")
     units = plan.units.withColumn("text", F.regexp_replace("text", "[^\\p{L}\\p{N}'.,;:!?() ]", " "))
-    return plan, prepare.prepare(units, lexicon)
+    return plan, prepare.prepare(units, lexicon, keep=written)
 
 
 def issue_dedup_keep_first(spark, sf_dir):

@@ -49,3 +49,20 @@ def test_originals_once(spark):
     assert [r[0] for r in got] == ["Rain fell on us. " * 299 + "Rain fell on us."]
     # units are numbered and timed by book without another exchange
     assert "Exchange" not in kept[0].groupBy("book_id").count()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mended_words_kept(spark):
+    """The words that are mended are written by ``keep`` once, one row each, and give the same result as without."""
+    from lectern.operators.prepare import prepare
+
+    units = spark.createDataFrame([("b", 0, "u0", "s", "Café café 12 ok."), ("b", 1, "u1", "s", "Fine.")], "book_id string, unit_ord int, unit_id string, section_id string, text string")
+    kept = []
+
+    def keep(df, label):
+        kept.append(df)
+        return df
+
+    shown = lambda made: [tuple(r) for r in made.issues.select("unit_id", "kind", "token").orderBy("unit_id").collect()]
+    with_keep = prepare(units, keep=keep)
+    assert sorted(r.word for r in kept[0].collect()) == ["Café", "café"] and len(kept) == 1
+    assert shown(with_keep) == shown(prepare(units)) == [("u0", "unknown_g2p_token", "12")]

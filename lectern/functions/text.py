@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The blanks, as the inside of a Java character class.
-BLANKS = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+BLANKS = r"\t\n\x0B\f\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 WS = f"[{BLANKS}]"
+# what begins a pattern for blanks or for stops: a look that rules nearly all characters out
+_MAY_BLANK, _MAY_STOP = "(?![!-~])", "(?![abcdefghijklmnopqrstuvwxyz ])"
 
 
 def col(c: str | Column) -> Column:
@@ -20,7 +22,7 @@ def col(c: str | Column) -> Column:
 
 def trim(c: str | Column) -> Column:
     """Without blanks at either end."""
-    return F.regexp_replace(col(c), rf"^{WS}+|{WS}+\z", "")
+    return F.regexp_replace(col(c), rf"^{WS}+|{_MAY_BLANK}{WS}+\z", "")
 
 
 def tokens(c: str | Column) -> Column:
@@ -29,8 +31,8 @@ def tokens(c: str | Column) -> Column:
 
 
 def inline(c: str | Column) -> Column:
-    """Blanks collapsed to one space, none at the ends."""
-    return F.array_join(tokens(c), " ")
+    """Blanks collapsed to one space, none at the ends. Single spaces, nearly all blanks, are no match and stay as they are."""
+    return F.trim(F.regexp_replace(col(c), _MAY_BLANK + rf"(?: {_MAY_BLANK}{WS}+|[{BLANKS.replace(' ', '')}]{WS}*)", " "))
 
 
 def word_count(c: str | Column) -> Column:
@@ -104,8 +106,15 @@ def _applied(pattern: str, by: str, before: str, after: str) -> tuple[Column, Co
     """
     old = F.col(before)
     if pattern in REGEX:
-        there = F.contains(old, F.lit(REGEX[pattern]))
+        there = F.contains(old, F.lit(REGEX[pattern])) & old.rlike(pattern)
         return F.when(there, F.regexp_replace(old, pattern, by)).otherwise(old), F.when(there, F.regexp_count(old, F.lit(pattern))).otherwise(0)
+    if pattern > "~":
+        new, count = _replaced(old, pattern, by, after)
+        return F.when(F.col("__odd"), new).otherwise(old), F.when(F.col("__odd"), count).otherwise(0)
+    return _replaced(old, pattern, by, after)
+
+
+def _replaced(old: Column, pattern: str, by: str, after: str) -> tuple[Column, Column]:
     step = len(by.encode()) - len(pattern.encode())
     size = F.octet_length if step else F.char_length
     step = step or len(by) - len(pattern)
@@ -119,24 +128,29 @@ def with_speech(df: DataFrame, text: str = "text", spoken: str = "spoken", repor
     the optimizer from merging them. A filter on the results would be pushed below all of them and repeat the chain:
     filter on rows exploded from them (``exploded``) instead.
     """
+    signs = "".join(sorted({c for rule in LITERAL_RULES for c in rule[1] if c > "~"}))
     work, counts = df.withColumn("__s0", F.coalesce(F.col(text), F.lit(""))), []
+    # rules for signs beyond ASCII have nothing to do in a text without any, and no rule makes one
+    work = work.withColumn("__odd", (F.octet_length("__s0") > F.char_length("__s0")) & F.col("__s0").rlike(f"(?![ -~])[{signs}]"))
     for k, (rule, pattern, by) in enumerate(LITERAL_RULES):
         before, after = f"__s{k}", f"__s{k + 1}"
         new, count = _applied(pattern, by, before, after)
         counts.append((rule, f"__n{k}"))
         work = work.withColumn(after, new).withColumn(f"__n{k}", count).drop(before)
-    work = work.withColumn("__t", tokens(f"__s{len(LITERAL_RULES)}"))
+    last = f"__s{len(LITERAL_RULES)}"
+    # only texts that may hold an address are cut into words; the others' are null
+    work = work.withColumn("__t", F.when(F.contains(F.col(last), F.lit("://")), tokens(last)))
     is_url = lambda t: F.contains(t, F.lit("://")) & t.rlike(URL_TOKEN)
-    work = work.withColumn("__url", F.size(F.filter("__t", is_url)))
+    work = work.withColumn("__url", F.when(F.col("__t").isNotNull(), F.size(F.filter("__t", is_url))).otherwise(0))
     counts.append(("url", "__url"))
     said = F.filter(F.transform("__t", lambda t: F.when(is_url(t), spoken_url(t)).otherwise(t)), lambda t: t != "")
-    work = work.withColumn(spoken, F.array_join(F.when(F.col("__url") > 0, said).otherwise(F.col("__t")), " "))
+    work = work.withColumn(spoken, F.when(F.col("__url") > 0, F.array_join(said, " ")).otherwise(inline(last)))
     totals: dict[str, list[str]] = {}
     for rule, name in counts:
         totals.setdefault(rule, []).append(name)
     total = lambda names: sum((F.col(n) for n in names[1:]), F.col(names[0])).cast("long")
     pairs = F.array(*[F.struct(F.lit(rule).alias("key"), total(names).alias("value")) for rule, names in sorted(totals.items())])
-    return work.withColumn(report, F.map_from_entries(F.filter(pairs, lambda p: p["value"] > 0))).drop("__t", f"__s{len(LITERAL_RULES)}", *[n for _, n in counts])
+    return work.withColumn(report, F.map_from_entries(F.filter(pairs, lambda p: p["value"] > 0))).drop("__t", "__odd", last, *[n for _, n in counts])
 
 
 def exploded(df: DataFrame, keep: list[str], listed: str | Column, at: str | None, name: str) -> DataFrame:
@@ -152,13 +166,17 @@ def exploded(df: DataFrame, keep: list[str], listed: str | Column, at: str | Non
 # Abbreviations whose point doesn't end a sentence.
 ABBREVIATIONS = ["dr", "mr", "mrs", "ms", "prof", "sr", "jr", "st", "vs", "etc"]
 _LETTER = r"\p{IsAlphabetic}"
-_STOP = rf"""(?:[!?…]|(?<!(?<!{_LETTER}){_LETTER})(?<!(?<!{_LETTER})(?i:{"|".join(ABBREVIATIONS)}))\.)["'”’)\]]*"""
+# the point first: what stands before it is looked at only there
+_STOP = rf"""(?:[!?…]|\.(?<!(?<!{_LETTER}){_LETTER}\.)(?<!(?<!{_LETTER})(?i:{"|".join(ABBREVIATIONS)})\.))["'”’)\]]*"""
 
 
 def sentences(c: str | Column) -> Column:
     """Sentences with their closing signs; a point after one letter or an abbreviation doesn't end one."""
-    marked = F.regexp_replace(F.regexp_replace(col(c), "\u0001", " "), rf"({_STOP})(?:{WS}+|\z)", "$1\u0001")
-    return F.filter(F.transform(F.split(marked, "\u0001"), trim), lambda s: s != "")
+    # a mark takes all blanks behind a stop along, so only the ends of the whole text have any to trim
+    ends = F.concat(F.substring(col(c), 1, 1), F.substring(col(c), -1, 1))
+    whole = F.replace(col(c), F.lit("\u0001"), F.lit(" "))
+    marked = F.regexp_replace(F.when(ends.rlike("[^!-~]"), trim(whole)).otherwise(whole), rf"{_MAY_STOP}({_STOP})(?:{WS}+|\z)", "$1\u0001")
+    return F.array_remove(F.split(marked, "\u0001"), "")
 
 
 def _flush(out: Column, current: Column) -> Column:
@@ -216,7 +234,7 @@ def terminated(c: str | Column) -> Column:
 
 
 def is_page_number(c: str | Column) -> Column:
-    return trim(c).rlike(r"^[0-9]+\z")
+    return col(c).rlike(rf"^{WS}*[0-9]+{WS}*\z")
 
 
 # Letters and the plain ones that stand for them.

@@ -44,11 +44,14 @@ def library(spark: SparkSession, sf_dir: str):
     return dealt_library(spark, sf_dir)[0]
 
 
-def planned(spark: SparkSession, sf_dir: str):
-    """The library, its plan and the rendered units, without original texts. Tables that several steps read are written once."""
+def planned(spark: SparkSession, sf_dir: str, once: bool = False):
+    """The library, its plan and the rendered units, without original texts. Tables that several steps read are written once.
+
+    Queries that read the units ``once`` and no cues have them as they are made, without the columns that they don't ask for.
+    """
     lib, parts = dealt_library(spark, sf_dir)
     lib.sections = written(lib.sections, "sections")
-    plan = narration.plan(lib, keep=partial(in_buckets, parts=parts), originals=False, parts=parts)
+    plan = narration.plan(lib, **{} if once else {"keep": partial(in_buckets, parts=parts)}, originals=False, parts=parts)
     return lib, plan, timeline.rendered(plan.units, LIMIT, RATE)
 
 
@@ -104,11 +107,11 @@ def section_word_counts(spark, sf_dir):
 
 
 def narration_units(spark, sf_dir):
-    return planned(spark, sf_dir)[1].units.select(doc_id(), F.col("unit_ord").cast("long").alias("unit_ord"), "unit_id", "text")
+    return planned(spark, sf_dir, once=True)[1].units.select(doc_id(), F.col("unit_ord").cast("long").alias("unit_ord"), "unit_id", "text")
 
 
 def unit_timeline(spark, sf_dir):
-    units = planned(spark, sf_dir)[2]
+    units = planned(spark, sf_dir, once=True)[2]
     return units.select(doc_id(), F.col("unit_ord").cast("long").alias("unit_ord"), F.col("requests").cast("long").alias("requests"), timeline.to_ms("start_sample", RATE).alias("start_ms"), timeline.to_ms("end_sample", RATE).alias("end_ms"), F.col("silence").cast("long").alias("silence"))
 
 
@@ -119,7 +122,7 @@ def cue_intervals(spark, sf_dir):
 
 def narration_totals(spark, sf_dir):
     """How long each document is when read aloud, with its units and requests."""
-    units = planned(spark, sf_dir)[2]
+    units = planned(spark, sf_dir, once=True)[2]
     return units.groupBy("book_id").agg(F.count("*").alias("units"), F.sum("requests").cast("long").alias("requests"), F.max("end_sample").alias("end_sample")).select(doc_id(), "units", "requests", timeline.to_ms("end_sample", RATE).alias("duration_ms"))
 
 
@@ -139,12 +142,12 @@ def visible_chapters(spark, sf_dir):
 
 
 def chapter_islands(spark, sf_dir):
-    units = planned(spark, sf_dir)[1].units
+    units = planned(spark, sf_dir, once=True)[1].units
     return lookup.chapter_texts(units).select(doc_id(), F.col("chapter").cast("long").alias("chapter"), "file_name", F.sha2("text", 256).alias("text_sha256"))
 
 
 def cache_hits(spark, sf_dir):
-    asked = cache.hits(cache.requests(planned(spark, sf_dir)[1].units, LIMIT))
+    asked = cache.hits(cache.requests(planned(spark, sf_dir, once=True)[1].units, LIMIT))
     return asked.groupBy("book_id").agg(F.count("*").alias("requests"), F.sum(F.col("hit").cast("long")).alias("hits")).select(doc_id(), "requests", "hits")
 
 

@@ -16,7 +16,7 @@ from ..functions.text import inline
 from .schema import BLOCKS, BOOKS, COVER, PAGES, POSITION, REJECTS, SECTIONS, Library
 
 UNSTRUCTURED = "no headings were found; the text is one body"
-_END = r"\r\n|\r|\n"
+_END = r"(?=[\r\n])(?:\r\n?|\n)"
 
 
 def text_position(offset: Column) -> Column:

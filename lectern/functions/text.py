@@ -211,6 +211,13 @@ def chunks(c: str | Column, limit: int) -> Column:
     return F.aggregate(tokens(c), _empty(), _pack_step(limit), lambda acc: _flush(acc["out"], acc["cur"]))
 
 
+def pieces(c: str | Column, limit: int) -> Column:
+    """``chunks`` of texts that nearly all are one piece as they are, their blanks collapsed already."""
+    text = col(c)
+    blanks = text.rlike(rf"{_MAY_BLANK}(?:^ | (?= |\z)|[{BLANKS.replace(' ', '')}])")
+    return F.when((F.char_length(text) <= limit) & (text != "") & ~blanks, F.array(text)).otherwise(chunks(text, limit))
+
+
 def packed_sentences(c: str | Column, limit: int) -> Column:
     """Sentences packed whole into pieces of at most ``limit`` characters; a longer one is packed by words, alone."""
     if limit < 1:

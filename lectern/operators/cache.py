@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import chunks
+from ..functions.text import pieces
 
 VERSION = b"lectern-segment-v1\0"
 
@@ -56,7 +56,7 @@ def seed(key: str | Column) -> Column:
 
 def requests(units: DataFrame, limit: int, identity: Identity = Identity()) -> DataFrame:
     """``book_id, unit_ord, request_ord, text, key``: each unit's pieces."""
-    return units.select("book_id", "unit_ord", F.posexplode(chunks("text", limit)).alias("request_ord", "text")).withColumn("key", segment_key("text", identity))
+    return units.select("book_id", "unit_ord", F.posexplode(pieces("text", limit)).alias("request_ord", "text")).withColumn("key", segment_key("text", identity))
 
 
 def hits(asked: DataFrame, stored: DataFrame | None = None) -> DataFrame:

@@ -101,19 +101,34 @@ def section_spans(units: DataFrame, sections: DataFrame) -> DataFrame:
     return met.filter("unit_start is not null")
 
 
+#: The order of the walk, and what cues carry along.
+WALK, BASE = ["deferred_key", "k1", "k2", "k3", "k4"], ["source_id", "start", "stop", "section_id"]
+
+
 def cues(units: DataFrame, sections: DataFrame) -> DataFrame:
     """Sentence, block and section cues with the ordinal of the walk."""
-    key = ["deferred_key", "k1", "k2", "k3", "k4"]
+    key, base = WALK, BASE
     deferred = F.col("deferred").cast("int")
     own = units.filter("cue is not null")
-    base = ["source_id", "start", "stop", "section_id"]
     sentence = own.select("book_id", F.col("unit_id").alias("cue_id"), F.lit("Sentence").alias("kind"), F.col("unit_ord").alias("unit_start"), (F.col("unit_ord") + 1).alias("unit_end"), *base, deferred.alias(key[0]), F.col("preorder").alias(key[1]), F.lit(0).alias(key[2]), F.col("block_ord").alias(key[3]), F.col("sentence_no").alias(key[4]))
     block = own.groupBy("book_id", "item_id", "cue", "section_id", "deferred", "preorder", "block_ord").agg(F.min("unit_ord").alias("unit_start"), (F.max("unit_ord") + 1).alias("unit_end"), F.first("source_id").alias("source_id"), F.first("start").alias("start"), F.first("stop").alias("stop"))
     block = block.select("book_id", F.col("item_id").alias("cue_id"), F.col("cue").alias("kind"), "unit_start", "unit_end", *base, deferred.alias(key[0]), F.col("preorder").alias(key[1]), F.lit(0).alias(key[2]), F.col("block_ord").alias(key[3]), F.lit(LAST).alias(key[4]))
+    every = sentence.unionByName(block).unionByName(_section_cues(units, sections))
+    return _walked(every)
+
+
+def section_cues(units: DataFrame, sections: DataFrame) -> DataFrame:
+    """The section cues alone, in the order that they have among all; needs no texts or positions of ``units``."""
+    return _walked(_section_cues(units, sections))
+
+
+def _section_cues(units: DataFrame, sections: DataFrame) -> DataFrame:
     section = section_spans(units, sections).join(sections.select("book_id", "section_id", "preorder", F.col("kind").alias("own_kind"), "source_id", "start", "stop"), ["book_id", "section_id"])
-    section = section.select("book_id", F.concat(F.lit("section:"), F.col("section_id")).alias("cue_id"), cue_kind("own_kind").alias("kind"), "unit_start", "unit_end", *base, F.lit(0).alias(key[0]), F.col("last").alias(key[1]), F.lit(1).alias(key[2]), (-F.col("preorder")).alias(key[3]), F.lit(0).alias(key[4]))
-    every = sentence.unionByName(block).unionByName(section)
-    return every.withColumn("cue_ord", F.row_number().over(Window.partitionBy("book_id").orderBy(*key)) - 1).drop(*key)
+    return section.select("book_id", F.concat(F.lit("section:"), F.col("section_id")).alias("cue_id"), cue_kind("own_kind").alias("kind"), "unit_start", "unit_end", *BASE, F.lit(0).alias(WALK[0]), F.col("last").alias(WALK[1]), F.lit(1).alias(WALK[2]), (-F.col("preorder")).alias(WALK[3]), F.lit(0).alias(WALK[4]))
+
+
+def _walked(every: DataFrame) -> DataFrame:
+    return every.withColumn("cue_ord", F.row_number().over(Window.partitionBy("book_id").orderBy(*WALK)) - 1).drop(*WALK)
 
 
 def section_texts(sections: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.structure import HIDDEN_KINDS, MAJOR_KINDS
-from ..functions.text import BLANKS, chunks, trim
+from ..functions.text import pieces, trim
 
 RATE, PAUSE_MS, LIMIT = 24_000, 120, 400
 Provider = Callable[[Column], Column]
@@ -29,10 +29,8 @@ def to_ms(samples: str, rate: int = RATE) -> Column:
 
 def rendered(units: DataFrame, limit: int = LIMIT, rate: int = RATE, pause_ms: int = PAUSE_MS, provider: Provider = mock_samples) -> DataFrame:
     """``units`` with ``requests``, ``samples``, ``start_sample``, ``end_sample`` and the ``silence`` after each but the last."""
-    # nearly all units are one piece as they are, their blanks collapsed already
-    pieces = F.when((F.char_length("text") <= limit) & (F.col("text") != "") & ~F.col("text").rlike(rf"(?![!-~])(?:^ | (?= |\z)|[{BLANKS.replace(' ', '')}])"), F.array("text")).otherwise(chunks("text", limit))
     pause = rate * pause_ms // 1000
-    counted = units.withColumn("pieces", pieces).withColumn("requests", F.size("pieces")).withColumn("samples", F.aggregate(F.transform("pieces", provider), F.lit(0).cast("long"), lambda a, x: a + x)).drop("pieces")
+    counted = units.withColumn("pieces", pieces("text", limit)).withColumn("requests", F.size("pieces")).withColumn("samples", F.aggregate(F.transform("pieces", provider), F.lit(0).cast("long"), lambda a, x: a + x)).drop("pieces")
     order = Window.partitionBy("book_id").orderBy("unit_ord")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.col("samples") + pause).over(before), F.lit(0)).cast("long")

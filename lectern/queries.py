@@ -44,14 +44,17 @@ def library(spark: SparkSession, sf_dir: str):
     return dealt_library(spark, sf_dir)[0]
 
 
-def planned(spark: SparkSession, sf_dir: str, once: bool = False):
+def planned(spark: SparkSession, sf_dir: str, once: bool = False, columns: tuple[str, ...] = ()):
     """The library, its plan and the rendered units, without original texts. Tables that several steps read are written once.
 
-    Queries that read the units ``once`` and no cues have them as they are made, without the columns that they don't ask for.
+    Queries that read the units ``once`` and no cues have them as they are made, without the columns that they don't ask for;
+    with ``columns``, these alone are written.
     """
     lib, parts = dealt_library(spark, sf_dir)
     lib.sections = written(lib.sections, "sections")
-    plan = narration.plan(lib, **{} if once else {"keep": partial(in_buckets, parts=parts)}, originals=False, parts=parts)
+    plan = narration.plan(lib, **{} if once or columns else {"keep": partial(in_buckets, parts=parts)}, originals=False, parts=parts)
+    if columns:
+        plan.units = in_buckets(plan.units.select(*columns), "units", parts)
     return lib, plan, timeline.rendered(plan.units, LIMIT, RATE)
 
 
@@ -127,7 +130,7 @@ def narration_totals(spark, sf_dir):
 
 
 def page_cues_forward_asof(spark, sf_dir):
-    lib, _, units = planned(spark, sf_dir)
+    lib, _, units = planned(spark, sf_dir, columns=("book_id", "unit_ord", "section_id", "text", "start"))
     size = F.octet_length("text")
     marks = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("book_id"), F.explode(F.sequence(F.lit(0), (size / 1000).cast("int"))).alias("page_ord"))
     pages = marks.select("book_id", "page_ord", (F.col("page_ord") + 1).cast("string").alias("label"), text_position(F.col("page_ord") * 1000).alias("position"), F.lit("x").alias("source_id"))
@@ -135,9 +138,10 @@ def page_cues_forward_asof(spark, sf_dir):
 
 
 def visible_chapters(spark, sf_dir):
-    lib, plan, units = planned(spark, sf_dir)
-    units = written(units, "rendered")
-    found = timeline.chapters(lib.sections, timeline.timed_cues(plan.cues, units, RATE), lib.books, timeline.durations(units, RATE))
+    lib, _, units = planned(spark, sf_dir, once=True)
+    units = written(units.select("book_id", "unit_ord", "section_id", "deferred", "start_sample", "end_sample"), "rendered")
+    cues = narration.section_cues(units, narration.pruned(lib.sections)[0])
+    found = timeline.chapters(lib.sections, timeline.timed_cues(cues, units, RATE), lib.books, timeline.durations(units, RATE))
     return found.select(doc_id(), F.col("chapter_ord").cast("long").alias("chapter_ord"), "section_id", "title", "start_ms", "end_ms")
 
 
@@ -152,7 +156,7 @@ def cache_hits(spark, sf_dir):
 
 
 def manifest_counts(spark, sf_dir):
-    lib, plan, _ = planned(spark, sf_dir)
+    lib, plan, _ = planned(spark, sf_dir, columns=("book_id", "unit_ord", "text"))
     found = sidecar.counts(narration.section_texts(lib.sections, lib.blocks), plan.units, cache.hits(cache.requests(plan.units, LIMIT)))
     return found.select(doc_id(), *[F.col(c).cast("long").alias(c) for c in ("source_words", "source_characters", "narrated_words", "units", "narrated_characters", "provider_chunks", "cache_hits", "generated_chunks")])
 

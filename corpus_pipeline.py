@@ -19,7 +19,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, five-word shingles of similarity 0.8, with all its columns.
+    """One document of each class of near duplicates, with all its columns: SimHash codes within 2 bits, or five-word shingles of similarity 0.8.
 
     Null and empty texts are one class. The smallest id stays, null ids last, then the smallest hash of the text; of
     repeated rows one stays. Texts of fewer than five words are one shingle; very long texts are compared whole; an

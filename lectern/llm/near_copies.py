@@ -1,7 +1,8 @@
-"""Classes of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Classes of texts that are linked by their SimHash codes or by their sets of five-word shingles.
 
-A SimHash radius that holds such pairs is about 22 of 64 bits, too wide for the Gray-order tree to leave any node. So
-candidates come from MinHash bands: ``BANDS`` keys of ``ROWS`` least hashes each, of which a pair of similarity s shares
+The Gray-order tree of ``simhash_gray`` finds all codes within its radius, and texts of such codes are linked, as there.
+A SimHash radius that holds all pairs of a Jaccard similarity of 0.8 or more is about 22 of 64 bits, too wide for the
+tree to leave any node, so these are linked too, on their own sets. Their candidates come from MinHash bands: ``BANDS`` keys of ``ROWS`` least hashes each, of which a pair of similarity s shares
 one with probability 1 - (1 - s**ROWS)**BANDS, 0.99999995 at 0.8. All least hashes of a text are its signature; pairs
 that agree in fewer than ``AGREE`` of them (five standard deviations below 0.8) are passed over. Every other candidate
 is confirmed on the whole sets:
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, decoded, joined_evenly, mixed, session, written
 from .components import components
-from .simhash_gray import one_of_each, text_key
+from .simhash_gray import classes, fingerprint, one_of_each, text_key
 
 SHINGLE, LIKE, BANDS, ROWS, AGREE = 5, 0.8, 32, 4, 80
 #: Texts of a group that one task looks at together; pairs that share a hub and are confirmed together.
@@ -64,15 +65,29 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
-    """``doc_id, key, sig, shingles`` of every row."""
+    """``doc_id, key, code, sig, shingles`` of every row; ``code`` is that of ``simhash_gray``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t) for t in decoded(batch.column(2))]
+            codes, sets = [], []
+            for t in decoded(batch.column(2)):
+                codes.append(fingerprint(t))
+                sets.append(shingles(t))
+            code = pa.array(np.array(codes, np.uint64).view(np.int64))
             packed = [pa.array(x, pa.binary()) for x in ([signature(s).tobytes() for s in sets], [s.tobytes() for s in sets])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *packed], ["doc_id", "key", "sig", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), code, *packed], ["doc_id", "key", "code", "sig", "shingles"])
 
-    return texts.mapInArrow(run, "doc_id long, key long, sig binary, shingles binary")
+    return texts.mapInArrow(run, "doc_id long, key long, code long, sig binary, shingles binary")
+
+
+def _code_links(texts: DataFrame) -> DataFrame:
+    """``a, b``: links of the texts of each class of SimHash codes, found by the Gray-order tree, to its least key."""
+    codes = written(texts.groupBy("code").agg(F.min("key").alias("least"), F.count("*").alias("copies")), "codes")
+    rooted = written(codes.join(classes(codes), "code", "left").withColumn("root", F.coalesce("root", "code")), "coded")
+    hubs = written(rooted.groupBy("root").agg(F.min("least").alias("a"), F.count("*").alias("codes")), "coded")
+    sums = rooted.agg(F.count("*").alias("codes"), F.coalesce(F.sum("copies"), F.lit(0)).alias("texts")).first()
+    named = written(joined_evenly(rooted, hubs, ["root"], "codes", sums.codes).select("code", "copies", "a"), "coded")
+    return joined_evenly(texts.select("key", "code"), named, ["code"], "copies", sums.texts).filter("key <> a").select("a", F.col("key").alias("b"))
 
 
 def alike(x: np.ndarray, y: np.ndarray) -> bool:
@@ -182,7 +197,7 @@ def _linked(texts: DataFrame, limit: int = LIMIT) -> DataFrame:
     hubs = written(scored.groupBy("at").agg(F.max_by("key", F.struct("score", "key")).alias("hub"), F.count("*").alias("copies")), "hubs")
     pairs = joined_evenly(met, hubs, ["at"], "copies", members).filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
     likely = written(_agreeing(written(pairs, "pairs"), texts), "likely")
-    links = written(_confirmed(likely, texts), "links")
+    links = written(_confirmed(likely, texts).unionByName(_code_links(texts)), "links")
     found = written(components(links).select(F.col("node").alias("key"), "root"), "classes")
     rooted = written(met.join(found, "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted")
     several = rooted.groupBy("at").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("copies")).filter("low < high").select("at", "copies")
@@ -204,6 +219,6 @@ def without_near_copies(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     session(docs.sparkSession)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_key().alias("key"), docs["text"].cast("string").alias("text"))
     made = written(_sketches(texts.select("doc_id", "key", "text")), "sketches")
-    distinct = written(made.groupBy("key").agg(F.first("sig").alias("sig"), F.first("shingles").alias("shingles")), "texts")
+    distinct = written(made.groupBy("key").agg(F.first("code").alias("code"), F.first("sig").alias("sig"), F.first("shingles").alias("shingles")), "texts")
     found = written(_linked(distinct, limit), "linked")
     return one_of_each(docs, made.groupBy("doc_id", F.col("key").alias("code")).agg(F.count("*").alias("rows")), found, text_key())

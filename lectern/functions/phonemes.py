@@ -30,21 +30,27 @@ def repaired(c: str | Column) -> Column:
     clean = F.regexp_replace(col(c), DROPPED, "")
     marked = F.regexp_extract_all(clean, F.lit(f"(?s)[{CONSONANTS}]{SYLLABIC}+|."), F.lit(0))
     one = lambda p: F.when((F.char_length(p) > 1), F.concat(F.repeat(F.lit("ə"), F.char_length(p) - 1), F.substring(p, 1, 1))).otherwise(p)
-    return F.array_join(F.transform(marked, one), "")
+    return F.when(F.contains(col(c), F.lit(SYLLABIC)), F.array_join(F.transform(marked, one), "")).otherwise(clean)
 
 
 def repairs(c: str | Column) -> Column:
     """How many marks ``repaired`` acts on."""
     clean = F.regexp_replace(col(c), DROPPED, "")
-    return F.aggregate(F.regexp_extract_all(clean, F.lit(f"[{CONSONANTS}]({SYLLABIC}+)"), F.lit(1)), F.lit(0), lambda n, p: n + F.char_length(p))
+    marks = F.regexp_extract_all(clean, F.lit(f"[{CONSONANTS}]({SYLLABIC}+)"), F.lit(1))
+    return F.when(F.contains(col(c), F.lit(SYLLABIC)), F.aggregate(marks, F.lit(0), lambda n, p: n + F.char_length(p))).when(col(c).isNotNull(), 0)
 
 
 #: The inside of a class of the vocabulary's characters.
 _KNOWN = "".join(f"\\x{{{ord(x):x}}}" for x in VOCABULARY)
+#: A character outside the vocabulary, behind a look that rules nearly all known ones out.
+_ODD = f"(?s)(?![a-fh-z ,.ɡ])[^{_KNOWN}]"
 
 
 def _aliased(c: str | Column) -> Column:
-    return F.translate(repaired(c), *ALIASES)
+    out = repaired(c)
+    for sign, other in zip(*ALIASES):
+        out = F.replace(out, F.lit(sign), F.lit(other))
+    return out
 
 
 def characters(c: Column) -> Column:
@@ -53,26 +59,24 @@ def characters(c: Column) -> Column:
 
 def unsupported(c: str | Column) -> Column:
     """Characters outside the vocabulary, in the order in which they first come."""
-    return F.array_distinct(F.regexp_extract_all(_aliased(c), F.lit(f"(?s)[^{_KNOWN}]"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(_aliased(c), F.lit(_ODD), F.lit(0)))
 
 
 def supports(c: str | Column) -> Column:
     """Whether the text's own characters are in the vocabulary, as they are, without a repair."""
     plain = F.translate(F.regexp_replace(col(c), DROPPED, ""), *ALIASES)
-    return ~plain.rlike(f"(?s)[^{_KNOWN}]")
+    return ~plain.rlike(_ODD)
 
 
 def normalized(c: str | Column) -> Column:
     """Repaired and aliased phonemes; null if empty or unsupported."""
-    return F.when((F.size(unsupported(c)) == 0) & (_aliased(c) != ""), _aliased(c))
+    return F.when(~_aliased(c).rlike(_ODD) & (_aliased(c) != ""), _aliased(c))
 
 
 def problem(c: str | Column) -> Column:
     """Why ``normalized`` is null; null if it isn't."""
-    odd = unsupported(c)
-    return F.when(F.size(odd) > 0, F.concat(F.lit("no sound for '"), F.array_join(odd, ""), F.lit("'"))).when(
-        _aliased(c) == "", "nothing to say"
-    )
+    odd = F.concat(F.lit("no sound for '"), F.array_join(unsupported(c), ""), F.lit("'"))
+    return F.when(_aliased(c).rlike(_ODD), odd).when(_aliased(c) == "", "nothing to say")
 
 
 def token_ids(c: str | Column) -> Column:

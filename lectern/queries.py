@@ -183,12 +183,12 @@ def section_parents(spark, sf_dir):
     return lookup.parents(rows).drop("above")
 
 
-def prepared(spark, sf_dir):
-    plan = planned(spark, sf_dir)[1]
-    # as values, whose size the planner knows; rows from Python would send each token to its word
+def prepared(spark, sf_dir, once: bool = False):
+    """The plan and its prepared units. Queries that read the issues ``once`` have them from units and sentences that aren't written."""
+    plan = planned(spark, sf_dir, **{"once": True} if once else {"columns": ("book_id", "unit_ord", "unit_id", "text", "repairs")})[1]
     lexicon = spark.sql("select * from values ('the', 'ðə'), ('Ames', 'Amz'), ('5', 'fIv'), ('3', 'θɹi'), ('15', 'fɪftin') as t(word, phonemes)")
     units = plan.units.withColumn("text", F.regexp_replace("text", "[^\\p{L}\\p{N}'.,;:!?() ]", " "))
-    return plan, prepare.prepare(units, lexicon, keep=written)
+    return plan, prepare.prepare(units, lexicon, hold=None if once else written)
 
 
 def issue_dedup_keep_first(spark, sf_dir):
@@ -197,13 +197,13 @@ def issue_dedup_keep_first(spark, sf_dir):
 
 
 def unresolved_issues(spark, sf_dir):
-    _, found = prepared(spark, sf_dir)
+    _, found = prepared(spark, sf_dir, once=True)
     merged = issues.kept_first(found.issues)
     return merged.groupBy("kind").agg(F.sum("occurrences").alias("occurrences"), F.count("*").alias("signatures"))
 
 
 def suggestion_tokens(spark, sf_dir):
-    _, found = prepared(spark, sf_dir)
+    _, found = prepared(spark, sf_dir, once=True)
     return issues.suggestions(found.issues).groupBy("token", "line").agg(F.count("*").alias("books"))
 
 
